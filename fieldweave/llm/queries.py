@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_top_k": "topk",
+    "op4_pack_documents": "packing",
     "op5_format_chats": "chat",
     "op8_mix_sources": "mixing",
 }
