@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op2_top_k": "topk",
+    "op3_media_columns": "archives",
     "op4_pack_documents": "packing",
     "op5_format_chats": "chat",
     "op8_mix_sources": "mixing",
