@@ -5,11 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_extract_html": "pages",
     "op2_top_k": "topk",
     "op3_media_columns": "archives",
     "op4_pack_documents": "packing",
     "op5_format_chats": "chat",
     "op8_mix_sources": "mixing",
+    "op10_remove_repeats": "repeats",
 }
 
 
