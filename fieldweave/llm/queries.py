@@ -12,6 +12,7 @@ _MODULES = {
     "op5_format_chats": "chat",
     "op7_near_duplicates": "neardup",
     "op8_mix_sources": "mixing",
+    "op9_score_toxicity": "toxicity",
     "op10_remove_repeats": "repeats",
 }
 
