@@ -10,6 +10,7 @@ _MODULES = {
     "op3_media_columns": "archives",
     "op4_pack_documents": "packing",
     "op5_format_chats": "chat",
+    "op6_judge_quality": "quality",
     "op7_near_duplicates": "neardup",
     "op8_mix_sources": "mixing",
     "op9_score_toxicity": "toxicity",
