@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -181,14 +182,14 @@ def _residual_pairs(buckets: DataFrame, parts: DataFrame, classes: DataFrame, se
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, percent: int = PERCENT,
-    bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
+    bands: int = BANDS, rows: int = ROWS, miss: float = MISS, number_rows: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with a struct ``near``: ``n_shingles, component_id, kept``.
 
     Documents are linked where ``100 * common >= percent * union`` holds for their sets; a component's
     id is its least ``key``; ``kept`` marks the document with that key. Null and empty texts, and those
     without words, have empty sets and are linked with nothing. Repeated rows of one key are one
-    document. A null key counts as the least long. Where ``docs`` has a column ``near``, the new one
+    document; ``number_rows`` adds a field ``row`` that counts them from 1. A null key counts as the least long. Where ``docs`` has a column ``near``, the new one
     is called ``near_``. An empty table gives an empty result.
     """
     size = bands * rows
@@ -215,7 +216,11 @@ def near_duplicates(
     labels = told.join(of_class, "digest", "left").groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("component", "id")).alias("component"))
     own = fresh(docs, "near")
     named = labels.select(F.col("id").alias("_near_id"), F.struct(F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")).alias(own))
-    return docs.withColumn("_near_id", identity).join(named, "_near_id").select(*[F.col(f"`{c}`") for c in docs.columns], own)
+    joined = docs.withColumn("_near_id", identity).join(named, "_near_id")
+    if number_rows:
+        nth = F.row_number().over(W.partitionBy("_near_id").orderBy(F.xxhash64(text)))
+        joined = joined.withColumn(own, F.col(own).withField("row", nth))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,9 +29,13 @@ from .textbuf import pieces
 SAMPLE, BROADCAST_GROUPS, KEEP, MOST_PRIOR = 12000, 20000, 0.5, 10000.0
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Trees:
-    """The document classifier, from at most ``sample`` labelled rows, chosen by a hash of ``key``."""
-    known = rows.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(9), key).alias("o"))
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Trees:
+    """The document classifier, from at most ``sample`` labelled rows, chosen by a hash of ``key``.
+
+    That bound makes the labels small enough to send to every task, so the texts stay where they are.
+    """
+    few = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(9), key).alias("o")).orderBy("o", "y").limit(sample)
+    known = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), key).join(F.broadcast(few), F.col(key) == F.col("_key")).select("t", "y", "o")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +117,7 @@ def judge(
 
 
 def model_for(spark, sf_dir: str, docs: DataFrame) -> Trees:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("_label"))
-    return train(docs.select("doc_id", "text").join(labels, "doc_id"), label="_label")
+    return train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import atexit
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scope(name: str) -> None:
-    """Tables written from now on belong to ``name``, until the next call."""
-    _scope[0] = name
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name``."""
+    before, _scope[0] = _scope[0], name
+    try:
+        yield
+    finally:
+        _scope[0] = before
 
 
 def release(name: str) -> None:

@@ -108,17 +108,17 @@ class Model:
         return np.clip(self.calibration(self.trees.raw(_features(Words(data, offsets), self.lexicon))), 0.0, 1.0)
 
 
-def train(rows: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows, of which at most ``sample`` of each class are used.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """A model from ``labels``, of which at most ``sample`` of each class are used.
 
-    Rows without text or label are left out. Without rows of both classes the model is a constant.
+    That bound makes the labels small enough to send to every task, so the texts stay where they are.
+    Other labels than 0 and 1 are left out; a null text is an empty one. Without rows of both classes
+    the model is a constant.
     """
-    known = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)).cast("int").alias("half"), F.xxhash64(F.lit(6), key).alias("o"))
-    marked = known.select("y", "half", "o")
+    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)).cast("int").alias("half"), F.xxhash64(F.lit(6), key).alias("o"))
     few = [marked.where(F.col("y") == y).orderBy("o").limit(sample) for y in (0, 1)]
-    last = few[0].unionByName(few[1]).groupBy("y").agg(F.max("o").alias("last"), F.count("*").alias("n")).collect()
-    limit = {r["y"]: r["last"] for r in last}
-    use = materialize(known.where(((F.col("y") == 0) & (F.col("o") <= limit.get(0, -(1 << 63)))) | ((F.col("y") == 1) & (F.col("o") <= limit.get(1, -(1 << 63))))).select("t", "y", "half"), "labelled")
+    known = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), key).join(F.broadcast(few[0].unionByName(few[1])), F.col(key) == F.col("_key"))
+    use = materialize(known.select("t", "y", "half"), "labelled")
     sizes = {(r["half"], r["y"]): r["n"] for r in use.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     counts = use.mapInArrow(_count, "h long, c0 long, t0 long, c1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     best = counts.where(F.col("t0") + F.col("t1") >= SUPPORT).withColumn("odds", (F.col("t0") + F.col("t1") + 0.1) / (F.col("c0") + F.col("c1") + 0.1)).orderBy(F.desc("odds"), F.desc(F.col("t0") + F.col("t1")), "h").limit(ENTRIES)
@@ -173,6 +173,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """``op9_score_toxicity``: scores of all documents, learned from the rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = train(docs.join(labels, "doc_id"), "text", "toxic", "doc_id")
+    model = train(docs, labels)
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
