@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .scores import segment_score
-from .text import _upper, blank, segment_box, split_words, strip
+from .text import _upper, blank, let, segment_box, split_words, strip
 
 _VALUES = "map<string,string>"
 
@@ -65,6 +65,10 @@ def match_segments(segments: Column, fields: Column, pattern: Column) -> Column:
 
     ``pattern`` is the learned sequence of types, or null.
     """
+    return let(segments, lambda s: _match(s, fields, pattern))
+
+
+def _match(segments: Column, fields: Column, pattern: Column) -> Column:
     total = F.size(segments)
     place = lambda f: F.when(f["type"].isNotNull() & F.array_contains(pattern, f["type"]), F.array_position(pattern, f["type"]) - 1)
     pairs = F.flatten(F.transform(fields, lambda f, i: F.transform(segments, lambda s, j: F.struct(
@@ -76,18 +80,17 @@ def match_segments(segments: Column, fields: Column, pattern: Column) -> Column:
 
     chosen = F.aggregate(F.array_sort(pairs), F.array().cast("array<struct<score:double,field:int,segment:int>>"), step)
     names = F.transform(fields, lambda f: f["name"])
-    values = F.transform(fields, lambda f, i: F.get(segments, F.get(F.filter(chosen, lambda c: c["field"] == i), F.lit(0))["segment"]))
-    return F.map_from_arrays(names, values)
+    pick = lambda c: F.transform(fields, lambda f, i: F.get(segments, F.get(F.filter(c, lambda x: x["field"] == i), F.lit(0))["segment"]))
+    return F.map_from_arrays(names, let(chosen, pick))
 
 
 def box_values(text: Column, fields: Column, pattern: Column, delimiters: Column | None = None) -> Column:
     """All fields of a box: several by position or in sequence, a single one by its best segment."""
     names = F.transform(fields, lambda f: f["name"])
     n = F.size(fields)
-    split = positional_split(text, n)
     segments = segment_box(text) if delimiters is None else segment_box(text, delimiters)
     none = F.map_from_arrays(names, F.array_repeat(F.lit(None).cast("string"), n))
-    several = F.when(split.isNotNull(), F.map_from_arrays(names, split)).otherwise(sequential_values(text, fields))
+    several = let(positional_split(text, n), lambda s: F.when(s.isNotNull(), F.map_from_arrays(names, s)).otherwise(sequential_values(text, fields)))
     return F.when(blank(text), none).when(n > 1, several).otherwise(match_segments(segments, fields, pattern))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ _CURRENCY = r"(?iu)R\s*\$|\$|USD|EUR|€|£|BRL"
 _STRINGS = "array<string>"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, also where ``f`` uses it inside of array functions."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
