@@ -535,7 +535,7 @@ def q_truncate(spark, sf):
 # --- joins --------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {LINES_SQL}, v AS (SELECT doc_id, 'linha' AS field, ' ' || upper(arg_max(text, struct_pack(n := length(text), i := -block_idx))) AS value FROM lines GROUP BY doc_id
+@query(f"""WITH {LINES_SQL}, v AS (SELECT doc_id, 'linha' AS field, ' ' || lower(arg_max(text, struct_pack(n := length(text), i := -block_idx))) AS value FROM lines GROUP BY doc_id
 UNION ALL SELECT doc_id, 'inicio', substr(arg_max(text, block_idx), 1, 12) FROM lines GROUP BY doc_id UNION ALL SELECT doc_id, 'lang', lang FROM documents),
 m AS (SELECT v.doc_id, field, value, block_idx, lower({s_strip("value")}) AS a, lower(l.text) AS b FROM v JOIN lines l ON l.doc_id = v.doc_id WHERE {s_strip("value")} <> ''),
 k AS (SELECT *, a = b AS exact FROM m WHERE a = b OR ((contains(b, a) OR contains(a, b)) AND length(a) < length(b) * 0.9::DOUBLE))
@@ -543,7 +543,7 @@ SELECT doc_id, field, min(block_idx) AS block_idx, CASE WHEN arg_min(exact, bloc
 def q_first_match(spark, sf):
     l, d = lines(spark, sf), T(spark, sf, "documents")  # noqa: E741
     v = l.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("block_idx"))).alias("a"), F.max_by("text", "block_idx").alias("b"))
-    v = v.select("doc_id", F.inline(F.array(F.struct(F.lit("linha").alias("field"), F.concat(F.lit(" "), F.upper("a")).alias("value")), F.struct(F.lit("inicio").alias("field"), F.substring("b", 1, 12).alias("value")))))
+    v = v.select("doc_id", F.inline(F.array(F.struct(F.lit("linha").alias("field"), F.concat(F.lit(" "), F.lower("a")).alias("value")), F.struct(F.lit("inicio").alias("field"), F.substring("b", 1, 12).alias("value")))))
     v = v.unionByName(d.select("doc_id", F.lit("lang").alias("field"), F.col("lang").alias("value")))
     return matching.first_match(v, l).select("doc_id", "field", "block_idx", "mode")
 
