@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .tables import WORD, fresh
 
 #: Weights of the sources in their order, repeating.
@@ -30,7 +31,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _cells(df: DataFrame, source: str, key: str, size: Column, buckets: int) -> list[Column]:
+def _cells(source: str, key: str, size: Column, buckets: int) -> list[Column]:
     """Source (null apart from every string), size class and bucket of a row."""
     return [
         F.col(source).isNull().alias("_null"),
@@ -80,23 +81,27 @@ def mix_sources(
     and copies 0.
     """
     buckets = max(1, -(-docs.count() // cell_rows))
-    measured = F.coalesce(F.col(size), F.lit(0)).cast("long") if size else word_count(F.col(text))
+    own = fresh(docs, "mix")
     keys = ["_null", "_source", "_class", "_bucket"]
-    cells = docs.select(measured.alias("_size"), source, key).select("_size", *_cells(docs, source, key, F.col("_size"), buckets)).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    # plain columns beside those of docs, so that what the caller doesn't ask for is never read or moved
+    outer = [f"_mix{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, outer, strict=True))
+    rows = docs.toDF(*outer)
+    measured = F.coalesce(F.col(at[size]), F.lit(0)).cast("long") if size else word_count(F.col(at[text]))
+    rows = rows.withColumn("_size", measured)
+    rows = rows.select("*", *_cells(at[source], at[key], F.col("_size"), buckets))
+    cells = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")), "cells")
     targets = source_targets(cells.groupBy("_null", "_source").agg(F.sum("_sum").alias("source_size")), weights, share, ceiling)
     before = W.partitionBy("_null", "_source").orderBy("_class", "_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     starts = starts.join(targets, ["_null", "_source"]).select(*keys, "_start", "source_size", "target", offset.alias("_offset"))
-    own = fresh(docs, "mix")
-    inside = W.partitionBy(*keys).orderBy("_size", F.col(f"_row.{key}"))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), measured.alias("_size"), F.col(source).alias("_s"), F.col(key).alias("_k"))
-    rows = rows.select("_row", "_size", *_cells(rows, "_s", "_k", F.col("_size"), buckets)).withColumn("_nth", F.row_number().over(inside))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy("_size", at[key])))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.col("_start") + F.col("_nth")
-    copies = (F.floor(at * F.col("_step") + F.col("_offset")) - F.floor((at - 1) * F.col("_step") + F.col("_offset"))).cast("long")
+    upto = F.col("_start") + F.col("_nth")
+    copies = (F.floor(upto * F.col("_step") + F.col("_offset")) - F.floor((upto - 1) * F.col("_step") + F.col("_offset"))).cast("long")
     joined = rows.join(starts, keys).withColumn("_step", step)
-    return joined.select("_row.*", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).alias(own))
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(outer, docs.columns, strict=True)], F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).alias(own))
 
 
 def take_mix(mixed: DataFrame, mix: str = "mix") -> DataFrame:
