@@ -161,7 +161,9 @@ class MediaReader(DataSourceReader):
             files = [f for f in files if f[0].rpartition("/")[2] in names]
         return [ByteRange(scheme + p, a, min(a + self.range_bytes, size)) for p, size in files for a in range(0, size, self.range_bytes)]
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no archives
+            return
         system, at = _open(part.path)
         rows, size = [], 0
         with system.open_input_file(at) as source:
