@@ -4,9 +4,9 @@
    signature. Documents of one set are one class from here on (partial sums, no pairs).
 2. Bands of the signatures propose candidates. A bucket gives a star from its least class only, so
    its pairs are as many as its members; classes that these stars link are one for what follows.
-3. A bucket that still holds several components could hide links between its other members. Pairs
-   of these are proposed by the rarest shingles of the full sets (prefix filter, exact), and only where
-   sizes and the shingles that nobody else has still allow the similarity.
+3. A bucket that still holds several components could hide links between its other members. Bounds on
+   their distance to the bucket's least class rule out nearly all without a pair; the others are proposed by
+   the rarest shingles of their full sets (prefix filter), which loses no link.
 4. Every candidate pair is verified in batches of its signatures: after each, the pair goes if the
    posterior probability that its similarity reaches the threshold is below ``miss``. Survivors are
    compared on their full sets.
@@ -143,41 +143,48 @@ def verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
     return full.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def _residual_pairs(buckets: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual_pairs(shared: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidates among classes that share a bucket with another component.
 
-    With t the threshold, x the larger set: a link needs ``common >= t (nx + ny) / (1 + t)``, and
-    ``common <= nx - ux``, ``common <= ny - uy`` for the shingles ``u`` that no other such set has. So x
-    meets only ``ny`` up to a limit of its own, y only ``nx`` up to another, and a set with too many own
-    shingles meets nobody. Linked sets share one of their ``n - ceil(t n) + 1`` rarest shingles.
+    Let h be a bucket's least class, d(x) the number of shingles in which x and h differ, u(x) those of x
+    that no other such class has, and t the threshold. A link of x and y means that they differ in at
+    most K = (1 - t) / (1 + t) * (n(x) + n(y)) shingles. As they differ in d(x) + d(y) less twice what they differ
+    from h in common, and u(x), u(y) are not in common, ``d(x) <= d(y) - 2 u(y) + K`` and the reverse
+    hold. So a class whose d exceeds the group's greatest d - 2 u by more than its greatest K can't be
+    linked to anyone there: one maximum a group, no pairs. For copies with changed words nearly all go by this.
+    Of the rest, linked sets share one of their ``n - ceil(t n) + 1`` rarest shingles, and pairs keep to all bounds.
     """
     t = percent / 100
-    label = F.coalesce("component", "id")
-    placed = buckets.join(parts, F.col("id") == F.col("node"), "left").select("bucket", "id", label.alias("component"))
+    gap = (1 - t) / (1 + t)
+    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("bucket", "head", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    members = materialize(placed.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "members")
-    items = members.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    items = materialize(items, "items")
+    around = materialize(placed.join(mixed, "bucket", "left_semi").select("head", "id", "component").distinct(), "around")
+    members = around.select("id").distinct()
+    items = materialize(members.join(sets, "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "items")
     often = items.groupBy("s").agg(F.count("*").alias("df"))
-    known = items.join(often, "s").groupBy("id", "component", "n").agg(F.count_if(F.col("df") == 1).alias("u"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("shared"))
-    # the prefix in order of rarity: own shingles (df 1) come first and meet nobody
-    prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
-    sized = known.select("id", "component", "n", "u", F.slice("shared", 1, F.greatest(prefix - F.col("u"), F.lit(0)).cast("int")).alias("rare"))
-    upto = F.floor((F.col("n") - F.col("u")) * ((1 + t) / t) - F.col("n") + 1e-6)
-    sized = sized.withColumn("upto", upto).withColumn("least", F.ceil(t * F.col("n") - 1e-9)).where("upto >= least and size(rare) > 0")
-    rows = materialize(sized.select("id", "component", "n", "upto", "least", F.explode("rare")).select("id", "component", "n", "upto", "least", F.col("col.s").alias("s")), "rare")
-    lively = rows.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    rows = rows.join(lively, "s")
-    # cells of two percent of size; the larger one asks for the cells that it may meet
-    cell = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) * 50).cast("int")
-    small = rows.where("upto >= n").select("s", cell(F.col("n")).alias("cell"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("upto").alias("ub"))
-    heads = small.groupBy("s", "cell").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"))
-    large = rows.select("s", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.least("upto", "n").alias("ua"), F.col("least").alias("la"))
-    large = large.select("*", F.explode(F.sequence(cell(F.col("la")), cell(F.col("ua")))).alias("cell"))
-    # a cell whose smaller sets are all of one's own component offers nothing
-    large = large.join(heads, ["s", "cell"]).where("lo <> ca or hi <> ca").drop("lo", "hi")
-    met = large.join(small, ["s", "cell"]).where("ca <> cb and nb <= ua and nb >= la and na <= ub and (na > nb or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = items.join(often, "s").groupBy("id", "n").agg(F.count_if(F.col("df") == 1).alias("u"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("shared"))
+    prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1  # in order of rarity: own shingles come first and meet nobody
+    known = known.select("id", "n", "u", F.slice("shared", 1, F.greatest(prefix - F.col("u"), F.lit(0)).cast("int"))["s"].alias("rare"))
+    both = around.join(sets, "id").withColumnRenamed("shingles", "x").join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("y")), "head")
+    far = both.select("head", "id", "component", (F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))).alias("d"))
+    main = around.where("head = id").select("head", F.col("component").alias("main"))
+    rows = far.join(known, "id").join(main, "head").withColumn("e", F.col("d") - 2 * F.col("u"))
+    rows = materialize(rows, "hubs")
+    most = rows.groupBy("head").agg(F.max("e").alias("most"))
+    open_ = rows.join(most, "head").where(F.col("d") <= F.col("most") + gap * F.col("n") * (1 + 1 / t) + 1e-6)
+    ids = open_.groupBy("id", "component", "n", "u").agg(F.collect_list(F.struct("head", "main", "d", "e")).alias("hubs"), F.first("rare").alias("rare"))
+    ids = ids.withColumn("outside", F.exists("hubs", lambda h: h["main"] != F.col("component")))
+    items = materialize(ids.select("id", "component", "n", "u", "hubs", "outside", F.posexplode("rare").alias("at", "s")), "rare")
+    lively = items.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    items = items.join(lively, "s").withColumn("left", F.col("n") - F.col("u") - F.col("at"))  # from this shingle on
+    named = lambda x: items.select("s", *[F.col(c).alias(c + x) for c in ("id", "component", "n", "left", "hubs", "outside")])
+    met = named("1").where("outside1").join(named("2"), "s")  # one of the two is outside of a bucket's main component
+    k = gap * (F.col("n1") + F.col("n2")) + 1e-6
+    near = F.exists("hubs1", lambda g: F.exists("hubs2", lambda h: (g["head"] == h["head"]) & (g["d"] <= h["e"] + k) & (h["d"] <= g["e"] + k)))
+    # at the first shingle in common, what is left of both must be enough
+    sizes = (F.least("left1", "left2") * (1 + t) + 1e-6 >= t * (F.col("n1") + F.col("n2"))) & (F.col("n1") + 1e-6 >= t * F.col("n2")) & (F.col("n2") + 1e-6 >= t * F.col("n1"))
+    met = met.where((F.col("component1") != F.col("component2")) & (~F.col("outside2") | (F.col("id1") < F.col("id2"))) & sizes & near)
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -209,7 +216,7 @@ def near_duplicates(
     sets = materialize(source.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
     first = materialize(verify(stars, classes, sets, percent, size, miss), "links")
     linked = components(first)
-    more = verify(_residual_pairs(shared.select("bucket", "id"), linked, classes, sets, percent), classes, sets, percent, size, miss)
+    more = verify(_residual_pairs(shared, linked, sets, percent), classes, sets, percent, size, miss)
     # copies of one set: every id of a class to the class
     joined = components(first.unionByName(more))
     of_class = classes.join(joined, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
