@@ -96,16 +96,21 @@ def box_values(text: Column, fields: Column, pattern: Column, delimiters: Column
 
 def _cut(t: Column, average: Column, ratio: float, least: float) -> Column:
     """The first ``ratio`` of the average, back to the last space if that leaves more than ``least`` of it."""
-    head = F.substring(t, F.lit(1), F.floor(average * ratio).cast("int"))
-    space = F.length(head) - F.instr(F.reverse(head), " ")  # from 0; the length itself without a space
-    space = F.when(F.instr(head, " ") > 0, space).otherwise(-1)
-    return strip(F.when(space > average * least, F.substring(head, F.lit(1), space.cast("int"))).otherwise(head))
+
+    def back(head: Column) -> Column:
+        space = F.when(F.instr(head, " ") > 0, F.length(head) - F.instr(F.reverse(head), " ")).otherwise(-1)  # from 0
+        return let(space, lambda s: strip(F.when(s > average * least, F.substring(head, F.lit(1), s.cast("int"))).otherwise(head)))
+
+    return let(F.substring(t, F.lit(1), F.floor(average * ratio).cast("int")), back)
 
 
 def substring_by_type(text: Column, expected: Column, average: Column) -> Column:
     """The part of a box's text that looks most like the field; the whole text if nothing does."""
-    t, words = strip(text), split_words(text)
     avg = F.when(average != 0, average)
+    return let(strip(text), lambda t: let(split_words(t), lambda words: _substring(text, t, words, expected, avg)))
+
+
+def _substring(text: Column, t: Column, words: Column, expected: Column, avg: Column) -> Column:
     digits = F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))
     nearest = F.array_min(F.transform(digits, lambda d, i: F.struct(F.abs(F.length(d) - avg).alias("d"), i.alias("i"), d.alias("v"))))["v"]
     number = F.when(avg.isNull(), F.get(digits, F.lit(0))).otherwise(nearest)
@@ -124,6 +129,5 @@ def substring_by_type(text: Column, expected: Column, average: Column) -> Column
 
 
 def truncate(text: Column, average: Column, ratio: float = 1.3) -> Column:
-    t = strip(text)
-    long_ = F.length(t) > F.floor(average * ratio)
-    return F.when(average.isNull() | (average == 0), text).when(long_, _cut(t, average, ratio, 0.8)).otherwise(t)
+    cut = lambda t: F.when(F.length(t) > F.floor(average * ratio), _cut(t, average, ratio, 0.8)).otherwise(t)
+    return F.when(average.isNull() | (average == 0), text).otherwise(let(strip(text), cut))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import box_values, substring_by_type, template_id, truncate
 from ..functions.formats import expected_format, repair, validate_format
-from ..functions.text import blank, learn_pattern, null_like, segment_box, strip
+from ..functions.text import blank, learn_pattern, let, null_like, segment_box, strip
 from ..operators.blocks import simple_text
 from ..operators.knowledge import learn_fields
 from ..operators.matching import best_blocks, first_match, same_box
@@ -50,16 +50,17 @@ def by_position(requests: DataFrame, blocks: DataFrame, template_fields: DataFra
     shared = group.join(about, ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("field")).agg(F.sort_array(F.collect_list(F.struct("b_pos", "f")))["f"].alias("fields"))
     cut = found.join(shared, list(_BY))
     nth = F.try_element_at("segments", "field")
-    parts = segment_box(F.col("text"))
-    learned = F.when(nth < F.size(parts), F.get(parts, nth))
+    learned = F.when(nth.isNotNull(), let(segment_box(F.col("text")), lambda p: F.when(nth < F.size(p), F.get(p, nth))))
     partial = (F.coalesce(F.col("mode"), F.lit("")) == "partial") | F.col("segments").isNotNull()
     opens = partial & nth.isNull()  # cuts the whole box and may give the others
-    values = F.when(partial & learned.isNull(), box_values(F.col("text"), F.col("fields"), F.lit(None).cast("array<string>")))
-    cut = cut.withColumn("values", values).withColumn("opens", opens)
+    cut = cut.withColumn("learned", learned).withColumn("partial", partial).withColumn("opens", opens)
+    none = F.lit(None).cast("array<string>")
+    cut = cut.withColumn("values", F.when(F.col("partial") & F.col("learned").isNull(), box_values(F.col("text"), F.col("fields"), none)))
+    cut = cut.withColumn("mine", F.try_element_at("values", "field"))
     whole = substring_by_type(F.col("text"), F.col("type"), F.col("avg_length"))
-    mine = F.try_element_at("values", "field")
-    own = F.when(learned.isNotNull(), learned).when(opens, F.when(blank(mine), whole).otherwise(mine)).when(partial, mine).otherwise(whole)
-    own = null_like(F.when(~blank(own), truncate(own, F.col("avg_length"))).otherwise(own))
+    kept = F.col("partial") & (~F.col("opens") | ~blank(F.col("mine")))  # a box without this field gives the most likely part
+    own = F.when(F.col("learned").isNotNull(), F.col("learned")).when(kept, F.col("mine")).otherwise(whole)
+    own = let(own, lambda o: null_like(F.when(~blank(o), truncate(o, F.col("avg_length"))).otherwise(o)))
     given = cut.where("opens").select("doc_id", F.col("fpos").alias("giver"), F.col("field").alias("from"), F.explode("values").alias("field", "v")).where("field <> from and v is not null")
     given = given.groupBy(*_BY).agg(F.min_by("v", "giver").alias("given"), F.min("giver").alias("giver"))
     out = cut.select(*_BY, own.alias("own"))

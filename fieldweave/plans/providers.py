@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import null_like
 
-VALUES = "doc_id string, field string, value string"
-
 
 class TableProvider:
     """Answers from a table ``doc_id, field, value``: for tests, replays and gold data."""
@@ -53,7 +51,8 @@ class CallProvider:
                     out += [(r.doc_id, f, None if answer.get(f) is None else str(answer[f])) for f in schema]
                 yield pd.DataFrame(out, columns=["doc_id", "field", "value"])
 
-        got = asked.join(texts, "doc_id").select("doc_id", "text", "schema").mapInPandas(run, VALUES)
+        kind = asked.schema["doc_id"].dataType.simpleString()
+        got = asked.join(texts, "doc_id").select("doc_id", "text", "schema").mapInPandas(run, f"doc_id {kind}, field string, value string")
         return got.select("doc_id", "field", null_like(F.col("value")).alias("value"))
 
 
