@@ -22,6 +22,7 @@ from ..operators.blocks import simple_text
 from ..operators.knowledge import learn_fields
 from ..operators.matching import best_blocks, first_match, same_box
 from ..operators.templates import leader_clusters, match_templates
+from .stage import stored
 
 _BY = ("doc_id", "field")
 
@@ -41,14 +42,14 @@ def by_position(requests: DataFrame, blocks: DataFrame, template_fields: DataFra
     known = requests.join(template_fields.select("template", "field", "position", "mode"), ["template", "field"], "left")
     known = known.join(knowledge.select("template_id", "field", "type", "avg_length", "extraction_mode"), ["template_id", "field"], "left")
     known = known.withColumn("mode", F.coalesce("extraction_mode", "mode"))
-    placed = known.where(F.col("position").isNotNull()).withColumn("ref", F.col("position"))
+    placed = stored(known.where(F.col("position").isNotNull()).withColumn("ref", F.col("position")))
     found = best_blocks(placed.select("doc_id", "template", "field", "fpos", "ref", "mode", "type", "avg_length"), blocks).withColumn("text", strip(F.col("text")))
     boxes = patterns.groupBy("template", "box_text").agg(F.map_from_entries(F.collect_list(F.struct("field", "segment"))).alias("segments"))
     found = found.join(boxes, (found["template"] == boxes["template"]) & (F.col("text") == F.col("box_text")), "left").drop(boxes["template"])
     group = same_box(placed.select("doc_id", "field", "fpos", "ref.page", "ref.x0", "ref.y0"))
     about = placed.select("doc_id", F.col("field").alias("b"), F.struct(F.col("field").alias("name"), F.col("description").alias("description"), F.col("type").alias("type"), F.col("avg_length").cast("double").alias("avg_length")).alias("f"))
     shared = group.join(about, ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("field")).agg(F.sort_array(F.collect_list(F.struct("b_pos", "f")))["f"].alias("fields"))
-    cut = found.join(shared, list(_BY))
+    cut = stored(found.join(shared, list(_BY)))
     nth = F.try_element_at("segments", "field")
     learned = F.when(nth.isNotNull(), let(segment_box(F.col("text")), lambda p: F.when(nth < F.size(p), F.get(p, nth))))
     partial = (F.coalesce(F.col("mode"), F.lit("")) == "partial") | F.col("segments").isNotNull()
@@ -61,9 +62,10 @@ def by_position(requests: DataFrame, blocks: DataFrame, template_fields: DataFra
     kept = F.col("partial") & (~F.col("opens") | ~blank(F.col("mine")))  # a box without this field gives the most likely part
     own = F.when(F.col("learned").isNotNull(), F.col("learned")).when(kept, F.col("mine")).otherwise(whole)
     own = let(own, lambda o: null_like(F.when(~blank(o), truncate(o, F.col("avg_length"))).otherwise(o)))
+    cut = stored(cut.select(*_BY, "fpos", "opens", "values", own.alias("own")))
     given = cut.where("opens").select("doc_id", F.col("fpos").alias("giver"), F.col("field").alias("from"), F.explode("values").alias("field", "v")).where("field <> from and v is not null")
     given = given.groupBy(*_BY).agg(F.min_by("v", "giver").alias("given"), F.min("giver").alias("giver"))
-    out = cut.select(*_BY, own.alias("own"))
+    out = cut.select(*_BY, "own")
     joined = requests.join(out, list(_BY), "left").join(given, list(_BY), "left")
     return joined.select(*requests.columns, F.coalesce(F.when(F.col("giver") < F.col("fpos"), F.col("given")), F.col("own")).alias("value"))
 
@@ -87,10 +89,11 @@ def extract(requests: DataFrame, blocks: DataFrame, template_fields: DataFrame,
     A value of the wrong format is replaced by what the provider says, whatever it says; a missing one only by
     what it knows. The provider sees just these fields.
     """
-    first = by_position(requests, blocks, template_fields, patterns, knowledge)
+    first = stored(by_position(requests, blocks, template_fields, patterns, knowledge))
     alternatives = by_alternatives(first.where("value is null").drop("value"), blocks, template_fields, patterns, knowledge)
     tried = first.join(alternatives, list(_BY), "left").withColumn("raw", F.coalesce("value", "alternative"))
     checked = tried.withColumn("r", repair(F.col("raw"), expected_format(F.col("field"), F.col("description"))))
+    checked = stored(checked)
     wanted = checked.where("r.value is null").select("doc_id", "field", "description")
     answers = provider.extract(wanted, simple_text(blocks)).withColumnRenamed("value", "answer")
     done = checked.join(answers, list(_BY), "left")
@@ -146,11 +149,11 @@ def process(entries: DataFrame, blocks: DataFrame, hashes: DataFrame, structures
     numbers = ranked.select(F.col("seq").alias("doc_id"), "label", "seq", "full", "left", "right")
     clusters = leader_clusters(numbers).select(F.col("doc_id").alias("seq"), F.col("leader"), "is_leader")
     asked = requests_of(kinds.select("doc_id", "label", "fields")).join(kinds.select("doc_id", "seq"), "doc_id").join(clusters, "seq", "left")
-    asked = asked.withColumn("template", F.col("leader").cast("string"))
+    asked = stored(asked.withColumn("template", F.col("leader").cast("string")))
     alone = asked.where("is_leader is null or is_leader")
     answers = provider.extract(alone.select("doc_id", "field", "description"), simple_text(blocks))
-    led = alone.join(answers, list(_BY), "left").withColumn("method", F.when(F.col("is_leader"), "llm_learning").otherwise("llm_flexible"))
-    fields, patterns, knowledge, _ = learn_templates(led.where("is_leader"), blocks)
+    led = stored(alone.join(answers, list(_BY), "left").withColumn("method", F.when(F.col("is_leader"), "llm_learning").otherwise("llm_flexible")))
+    fields, patterns, knowledge = map(stored, learn_templates(led.where("is_leader"), blocks)[:3])
     followers = asked.where("not is_leader").select("doc_id", "label", "template", "template_id", "field", "fpos", "description")
     read = extract(followers, blocks, fields, patterns, knowledge, provider).withColumn("method", F.lit("positional"))
     cols = ["doc_id", "label", "method", "template", "field", "fpos", "value"]
