@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textbuf import BASE, BYTE, INVERSE, U64, mix, powers, prefix_hashes, slice_hashes  # noqa: F401
+from .textbuf import BYTE, INVERSE, U64, mix, powers, prefix_hashes, slice_hashes
 
 VERIFY_ROWS = 4096
 
