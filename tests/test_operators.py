@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave import queries
-from fieldweave.functions import bits  # noqa: F401
 from fieldweave.operators import blocks, cache, evaluate, knowledge, matching, templates
 from fieldweave.plans import extraction, providers
 from fieldweave.sources import readers, writers
