@@ -1,9 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 Markup becomes blocks of text. In the first pass, link density, length and stop-word density decide
-each block, with what its place tells: elements and names of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are never text, and where a page marks its article,
-nothing outside is. In the second pass, blocks that were too short to decide take the label of the
+each block, with what its place tells: elements of menus, headers, footers, sidebars and forms and names of
+adverts, consents and reader comments are never text, other names of the frame are overruled by long
+unlinked text, and where a page marks its article, nothing outside is. In the second pass, blocks that were too short to decide take the label of the
 nearest decided neighbours. Good blocks are joined in page order.
 
 Scale: a map over pages without a shuffle; a page is handled alone.
@@ -38,6 +38,11 @@ NAMES = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
 REMARKS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond"}
+#: Words that tell of no text of the article whatever it reads like, where a name has no other words.
+FIRM = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay"}
+#: Words after which a name tells of the page's layout ("has-sidebar"), and words for the article itself ("entry-header").
+LAYOUT = {"has", "with", "no", "without"}
+OWN = {"article", "post", "entry", "story", "content", "page", "main"}
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i if in into is it its not of on or our she so that the their them then there these they this to was we were what when which who will with you "
@@ -47,6 +52,8 @@ STOP_WORDS = frozenset(
 )
 #: Limits of the first pass.
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.15, 0.30
+#: Most links in a block whose text overrules a name.
+NAMED_LINKS = 0.1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?/][^>]*>""", re.S)
 _NAME = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -63,27 +70,42 @@ class Block:
     article: int  # number of the article or main element around it; 0: none
     heading: bool
     label: str = ""
+    named: bool = False  # a name says that it is of the frame, which its text can overrule
+    inner: bool = False  # the article stands inside a holder of such a name
 
 
-def _framed(name: str, attributes: str) -> bool:
-    """Whether an element's name or attributes say that it is no text of the article."""
+def _evidence(parts: list[str], inside: bool) -> int:
+    """What one class or id name tells: 2 never text, 1 perhaps none, 0 nothing. ``inside`` an article, its own header is text."""
+    layout = next((i for i, w in enumerate(parts) if w in LAYOUT), len(parts))
+    words = set(parts[:layout])
+    if inside and words & OWN:
+        words -= {"header"}
+    if words & REMARKS or (words & FIRM and words <= NAMES):
+        return 2
+    return int(bool(words & NAMES))
+
+
+def _framed(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element's name or attributes say that it is no text of the article: 2 surely, 1 perhaps, 0 no."""
     found = dict((k.lower(), v.strip("\"'")) for k, v in _NAME.findall(attributes)) if attributes else {}
     if "hidden" in attributes.lower() and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes, re.I) or found.get("aria-hidden", "").lower() == "true"):
-        return True
+        return 2
     if "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"], re.I):
-        return True
-    names = {w.lower() for k in ("class", "id") if k in found for w in _PART.findall(found[k])}
+        return 2
+    names = [[w.lower() for w in _PART.findall(n)] for k in ("class", "id") if k in found for n in found[k].split()]
     if name in ("html", "body", "main"):
-        return False
+        return 0
     if name == "article":
-        return bool(names & REMARKS)
-    return bool(names & NAMES) or found.get("role", "").lower() in ROLES
+        return 2 * any(REMARKS & set(n) for n in names)
+    if found.get("role", "").lower() in ROLES:
+        return 2
+    return max((_evidence(n, inside) for n in names), default=0)
 
 
 def blocks(page: str) -> list[Block]:
     """A page's blocks of text in order. Markup may be cut off or wrongly nested."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, framed, article
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # element, framed, article, named, inner
     text: list[str] = []
     linked = articles = in_link = 0
     heading = False
@@ -93,8 +115,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                framed, article = stack[-1][1:] if stack else (False, 0)
-                out.append(Block(whole, linked, framed, article, heading))
+                _, framed, article, by_name, inner = stack[-1] if stack else ("", False, 0, False, False)
+                out.append(Block(whole, linked, framed, article, heading, named=by_name, inner=inner))
         text, linked = [], 0
 
     at = 0
@@ -120,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             flush()
             heading = not close and name in ("h1", "h2", "h3", "h4", "h5", "h6")
             in_link = 0
-        named = not close and attributes and _framed(name, attributes)
+        named = 0 if close or not attributes else _framed(name, attributes, bool(stack and stack[-1][2]))
         if named and name not in VOID and name not in BREAKS:
             flush()
         if name in VOID or not (name in HOLDERS or named or close):
@@ -129,11 +151,11 @@ def blocks(page: str) -> list[Block]:
             if name in ("article", "main") and not named:
                 while stack and stack[-1][0] in ("nav", "header", "head"):  # left open
                     stack.pop()
-            _, framed, article = stack[-1] if stack else ("", False, 0)
+            _, framed, article, by_name, inner = stack[-1] if stack else ("", False, 0, False, False)
             if name in ("article", "main") and not framed and not article:
                 articles += 1
-                article = articles
-            stack.append((name, framed or named or (name in FRAME and not (name == "header" and article)), article))
+                article, by_name, inner = articles, False, by_name
+            stack.append((name, framed or named == 2 or (name in FRAME and not (name == "header" and article)), article, by_name or named == 1, inner))
         elif any(name == s[0] for s in stack):
             if name not in BREAKS:
                 flush()
@@ -152,6 +174,23 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def settle(found: list[Block]) -> None:
+    """Whether articles inside holders with a name of the frame are the page's, and which names stand.
+
+    They are where the page has no other article and they have at least half of the text outside of the
+    frame; else, as lists of related articles, they belong to their holder.
+    """
+    free = [b for b in found if not b.framed and not b.named]
+    theirs = sum(len(b.text) for b in free if b.inner)
+    if any(b.article and not b.inner and not b.framed for b in found) or 2 * theirs < sum(len(b.text) for b in free):
+        for b in found:
+            if b.inner:
+                b.article, b.named = 0, True
+    for b in found:
+        if b.named and not (len(b.text) >= LONG and b.linked <= NAMED_LINKS * len(b.text) and stop_density(b.text) >= STOP_HIGH):
+            b.framed = True
+
+
 def first_pass(b: Block, marked: bool) -> str:
     """``good``, ``bad``, or ``short`` and ``near`` where the block alone doesn't tell."""
     if b.framed or (marked and not b.article):
@@ -204,6 +243,7 @@ def second_pass(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null or a page without text."""
     found = blocks(page or "")
+    settle(found)
     marked = any(b.article and not b.framed for b in found)
     for b in found:
         b.label = first_pass(b, marked)

@@ -212,6 +212,23 @@ def test_pages(spark):
     assert pages.extract_main_text(t.limit(0)).count() == 0
 
 
+def test_page_names_yield_to_text():
+    story = "It was one of the days when we all had to go to the town, and so they went there with her. " * 3
+    story = story.strip()
+    for names in ("content has-sidebar", "no-sidebar", "content-with-sidebar", "search-page", "widget-area", "hasSidebar"):
+        assert pages.main_text(f'<div class="{names}"><article><h1>Title</h1><p>{story}</p><p>End.</p></article></div>') == f"Title {story} End."
+        assert pages.main_text(f'<div class="{names}"><main><p>{story}</p></main></div>') == story
+        assert pages.main_text(f'<div class="{names}"><p>{story}</p></div>') == story
+    assert pages.main_text(f'<article><div class="article-header"><h1>Title</h1></div><p class="notice">{story}</p></article>') == f"Title {story}"
+    # what names still take away: related articles, remarks, adverts, consents, short and linked blocks
+    related = f'<div class="related-posts"><article><p>{story}</p></article></div>'
+    assert pages.main_text(f"<main><p>{story} Own.</p></main>{related}") == f"{story} Own."
+    assert pages.main_text(f"<p>{story} Own.</p><p>{story}</p><div class='related'><article><p>Short one.</p></article></div>") == f"{story} Own. {story}"
+    for names in ("ad", "comments", "comment-list", "cookie-notice"):
+        assert pages.main_text(f'<article><p>{story}</p><div class="{names}"><p>{story} Not.</p></div></article>') == story
+    assert pages.main_text(f'<article><p>{story}</p><p class="notice">Mind the gap.</p><p class="share-bar"><a href="x">{story}</a></p></article>') == story
+
+
 def test_trees_and_isotonic():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 4))
