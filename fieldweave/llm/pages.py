@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page; they end at their own end tag only.
+#: Elements whose content is never text of the page; they end at their own end tag.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video", "noembed", "noframes", "xmp")
+#: Those that hold all up to the page's end if they have no end tag; of the others, only the tag goes then.
+TO_END = {"script", "style", "textarea", "title", "template", "iframe", "noembed", "noframes", "xmp"}
 #: Elements of the page's frame.
 FRAME = {"nav", "aside", "footer", "header", "form", "menu", "dialog", "button", "fieldset", "head"}
 #: Elements that can hold blocks; what they say of a block holds until they end.
@@ -59,6 +61,13 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA
 _NAME = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_RAW_TAG = {
+    name: re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)(?=[\s/>])|\Z)|<(/?){name}(?=[\s/>])((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.I | re.S)
+    for name in RAW
+    if name not in TO_END
+}
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]*/$""")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 _STRIP = {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„"}
 
 
@@ -102,6 +111,25 @@ def _framed(name: str, attributes: str, inside: bool) -> int:
     return max((_evidence(n, inside) for n in names), default=0)
 
 
+def _self_closed(name: str, attributes: str) -> bool:
+    """Whether a tag ends its element: only in svg and math, and where the '/' is no end of a value without quotes."""
+    return name in ("svg", "math") and attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
+
+
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements ``name`` that have an end tag end, by the end of their opening tag."""
+    out, begun = {}, []
+    for m in _RAW_TAG[name].finditer(page):
+        if m[2] is None:
+            continue
+        if not m[1]:
+            if not _self_closed(name, m[2]):
+                begun.append(m.end())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """A page's blocks of text in order. Markup may be cut off or wrongly nested."""
     out: list[Block] = []
@@ -109,6 +137,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = articles = in_link = 0
     heading = False
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal text, linked
@@ -130,8 +159,13 @@ def blocks(page: str) -> list[Block]:
             continue
         close, name, attributes = m[1], m[2].lower(), m[3]
         if not close and name in _RAW_END:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name in TO_END:
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            elif not _self_closed(name, attributes):
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(at, at)
             text.append(" ")
             continue
         if name == "a":
@@ -162,8 +196,8 @@ def blocks(page: str) -> list[Block]:
             while stack.pop()[0] != name:
                 pass
     tail = page[at:]
-    if "<" in tail:  # a tag that the page's end cuts off
-        tail = tail[: tail.index("<")]
+    if cut := _CUT_TAG.search(tail):  # a tag that the page's end cuts off
+        tail = tail[: cut.start()]
     text.append(tail)
     flush()
     return out

@@ -212,6 +212,19 @@ def test_pages(spark):
     assert pages.extract_main_text(t.limit(0)).count() == 0
 
 
+def test_page_elements_without_end():
+    for tag in ('<svg width="1"/>', "<svg/>", "<math />", "<select>", "<object>", "<canvas>", "<audio>", "<video>", "<noscript>", "<svg>"):
+        assert pages.main_text(f"<article>One {tag} two.</article>") == "One two.", tag
+        name = tag[1:].rstrip("/> ").split()[0]
+        assert pages.main_text(f"<article>One {tag} two <{name}>no</{name}> three.</article>") == "One two three.", tag
+    assert pages.main_text("<p>a<svg><svg><g/></svg>no</svg> b<svg><!-- <svg> --><path/>no</svg> c") == "a b c"
+    assert pages.main_text("<p>a<svg class=x/>no</svg> b") == "a b"  # the '/' belongs to the value
+    for name in ("script", "style", "title", "textarea"):
+        assert pages.main_text(f"<p>a <{name}>b <p>c") == "a"
+    assert pages.main_text("<p>if a < b then stop") == "if a < b then stop"
+    assert [pages.main_text(f"<p>a < b {x}") for x in ("<i", "</", "<!-", "< 1 <3")] == ["a < b", "a < b", "a < b", "a < b < 1 <3"]
+
+
 def test_page_names_yield_to_text():
     story = "It was one of the days when we all had to go to the town, and so they went there with her. " * 3
     story = story.strip()
