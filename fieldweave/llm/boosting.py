@@ -37,13 +37,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 5, ridge: float = 1.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 5, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss over quantile bins; the same rows give the same trees.
 
-    Without rows, or with rows of one class, the model is a constant.
+    ``weight`` is how many rows each one stands for, 1 by default. Without rows, or with rows of one class, the model is a constant.
     """
     n, width = x.shape
-    share = (y.sum() + 0.5) / (n + 1.0)
+    weight = np.ones(n) if weight is None else weight
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 1.0)
     start, inner, leaves = float(np.log(share / (1 - share))), 2**depth - 1, 2**depth
     if n < 2 * least or y.min() == y.max():
         return Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), start, depth)
@@ -53,7 +54,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 3,
     features, limits, values = [], [], []
     for _ in range(trees):
         p = sigmoid(raw)
-        g, h = y - p, np.maximum(p * (1 - p), 1e-9)
+        g, h = weight * (y - p), np.maximum(weight * p * (1 - p), 1e-9)
         node = np.zeros(n, np.int64)
         f_of, b_of = np.zeros(inner, np.int64), np.full(inner, np.inf)
         for level in range(depth):
@@ -99,14 +100,15 @@ class Isotonic:
         return np.interp(z, self.x, self.y)
 
 
-def fit_isotonic(z: np.ndarray, y: np.ndarray) -> Isotonic:
-    """Pool adjacent violators; a block's value is smoothed a little so that none is 0 or 1."""
+def fit_isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+    """Pool adjacent violators; a block's value is smoothed a little so that none is 0 or 1. Weights as for trees."""
     if not len(z):
         return Isotonic(np.array([0.0]), np.array([0.5]))
     order = np.argsort(z, kind="stable")
+    weight = np.ones(len(z)) if weight is None else weight
     blocks: list[list[float]] = []  # sum of y, rows, least z, greatest z
-    for a, b in zip(z[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, 1, a, a])
+    for a, b, w in zip(z[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([b * w, w, a, a])
         while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]

@@ -8,6 +8,7 @@ trees see it as it works on unseen texts; out-of-half scores calibrate.
 
 Scale: the labelled sample is bounded by ``sample`` rows of each class, chosen by a hash of the id;
 its word counts are summed in Spark and its features (a few kB a hundred rows) go to the driver.
+Trees and calibration weight its rows by their class's share of all labels, so that a score keeps its meaning.
 Scoring is a map over whole texts without a shuffle. Labels, ids, languages and sources are no features.
 """
 
@@ -108,6 +109,13 @@ class Model:
         return np.clip(self.calibration(self.trees.raw(_features(Words(data, offsets), self.lexicon))), 0.0, 1.0)
 
 
+def _class_weights(of_class: dict[int, int], sample: int) -> np.ndarray:
+    """How many labels of its class a sampled row stands for, scaled to a mean of 1; all 1 where no label is left out."""
+    known = np.array([of_class.get(y, 0) for y in (0, 1)])
+    used = np.minimum(known, sample)
+    return known * used.sum() / np.maximum(used * known.sum(), 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from ``labels``, of which at most ``sample`` of each class are used.
 
@@ -116,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     the model is a constant.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)).cast("int").alias("half"), F.xxhash64(F.lit(6), key).alias("o"))
+    of_class = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     few = [marked.where(F.col("y") == y).orderBy("o").limit(sample) for y in (0, 1)]
     known = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), key).join(F.broadcast(few[0].unionByName(few[1])), F.col(key) == F.col("_key"))
     use = materialize(known.select("t", "y", "half"), "labelled")
@@ -140,10 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     y, half = np.array([r["y"] for r in got], float), np.array([r["half"] for r in got])
     width = len(_features(Words(np.zeros(0, np.uint8), np.zeros(2, np.int64)), whole)[0])
     x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(-1, width)
+    weight = _class_weights(of_class, sample)[y.astype(int)]
     unseen = np.zeros(len(y))
     for h in (0, 1):
-        unseen[half == h] = fit_trees(x[half != h], y[half != h]).raw(x[half == h])
-    return Model(whole, fit_trees(x, y), fit_isotonic(unseen, y))
+        unseen[half == h] = fit_trees(x[half != h], y[half != h], weight[half != h]).raw(x[half == h])
+    return Model(whole, fit_trees(x, y, weight), fit_isotonic(unseen, y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

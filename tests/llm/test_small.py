@@ -251,6 +251,21 @@ def test_trees_and_isotonic():
     curve = boosting.fit_isotonic(model.raw(x[:2000]), y[:2000])
     assert (np.diff(curve(np.linspace(-9, 9, 50))) >= 0).all() and 0 <= curve(np.array([-99.0]))[0] <= curve(np.array([99.0]))[0] <= 1
     assert boosting.fit_trees(np.zeros((0, 4)), np.zeros(0)).raw(np.zeros((1, 4))).shape == (1,)
+    same = boosting.fit_trees(x[:2000], y[:2000], np.ones(2000))
+    assert (same.raw(x) == model.raw(x)).all()
+
+
+def test_toxicity_keeps_the_prior_of_a_cut_sample(spark):
+    assert toxicity._class_weights({0: 90, 1: 10}, 100).tolist() == [1, 1] and toxicity._class_weights({1: 3}, 100)[1] == 1
+    r = random.Random(4)
+    filler = [t.split() for t in _texts(1500, 7)]
+    marked = [(i, " ".join(["grunk"] * 3 * (r.random() < (0.9 if y else 0.15)) + w), y) for i, w in enumerate(filler) for y in [int(i % 15 == 0)]]
+    d = spark.createDataFrame([(i, t) for i, t, _ in marked], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in marked], "doc_id long, toxic int")
+    for sample in (6000, 80):
+        model = toxicity.train(d, labels, sample=sample)
+        mean = toxicity.score_toxicity(d, model).agg(F.avg("score")).first()[0]
+        assert 0.03 < mean < 0.12, (sample, mean)  # a fifteenth of all is toxic, in whatever sample
 
 
 def test_toxicity_and_quality(spark, docs, none):
