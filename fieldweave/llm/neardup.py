@@ -194,15 +194,20 @@ def near_duplicates(
     """All rows and columns of ``docs`` with a struct ``near``: ``n_shingles, component_id, kept``.
 
     Documents are linked where ``100 * common >= percent * union`` holds for their sets; a component's
-    id is its least ``key``; ``kept`` marks the document with that key. Null and empty texts, and those
-    without words, have empty sets and are linked with nothing. Repeated rows of one key are one
-    document; ``number_rows`` adds a field ``row`` that counts them from 1. A null key counts as the least long. Where ``docs`` has a column ``near``, the new one
+    id is its least ``key``; ``kept`` marks one document with that key. Null and empty texts, and those
+    without words, have empty sets and are linked with nothing. Repeated rows of one key and text are one
+    document, other texts of that key are others; ``number_rows`` adds a field ``row`` that counts them from 1. A null key counts as the least long. Where ``docs`` has a column ``near``, the new one
     is called ``near_``. An empty table gives an empty result.
     """
     size = bands * rows
     identity = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    told = docs.select(identity.alias("id"), whole.alias("t")).mapInArrow(_describe(shingle, size), "id long, n long, digest binary, sig binary")
+    by_text = F.xxhash64(identity, F.md5(whole.cast("binary")))
+    # ids that stand for several texts don't tell documents apart: then a hash of both does
+    texts = docs.select(identity.alias("k"), by_text.alias("d")).groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    several = bool(texts.where("lo < hi").take(1))
+    own_id = by_text if several else identity
+    told = docs.select(own_id.alias("id"), whole.alias("t")).mapInArrow(_describe(shingle, size), "id long, n long, digest binary, sig binary")
     told = materialize(told, "described")
     classes = materialize(told.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * rows * 4 + 1, F.lit(rows * 4))))
@@ -212,7 +217,7 @@ def near_duplicates(
     stars = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = shared.select("id").distinct()
     chosen = told.join(wanted, "id", "left_semi").join(classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id").distinct()
-    source = docs.select(identity.alias("id"), whole.alias("t")).join(chosen, "id", "left_semi").dropDuplicates(["id"])
+    source = docs.select(own_id.alias("id"), whole.alias("t")).join(chosen, "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(source.mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
     first = materialize(verify(stars, classes, sets, percent, size, miss), "links")
     linked = components(first)
@@ -221,9 +226,15 @@ def near_duplicates(
     joined = components(first.unionByName(more))
     of_class = classes.join(joined, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component"))
     labels = told.join(of_class, "digest", "left").groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("component", "id")).alias("component"))
+    first_id = F.col("component")
+    if several:
+        keys = docs.select(own_id.alias("id"), identity.alias("k")).distinct()
+        least = labels.join(keys, "id").groupBy("component").agg(F.min(F.struct("k", "id")).alias("least"))
+        labels = labels.join(least, "component").select("id", "n", F.col("least.k").alias("component"), F.col("least.id").alias("first"))
+        first_id = F.col("first")
     own = fresh(docs, "near")
-    named = labels.select(F.col("id").alias("_near_id"), F.struct(F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")).alias(own))
-    joined = docs.withColumn("_near_id", identity).join(named, "_near_id")
+    named = labels.select(F.col("id").alias("_near_id"), F.struct(F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == first_id).alias("kept")).alias(own))
+    joined = docs.withColumn("_near_id", own_id).join(named, "_near_id")
     if number_rows:
         nth = F.row_number().over(W.partitionBy("_near_id").orderBy(F.xxhash64(text)))
         joined = joined.withColumn(own, F.col(own).withField("row", nth))

@@ -21,6 +21,18 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    t = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    ids = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (7, t[3]), (7, t[3] + " more"), (8, t[4]), (9, t[4]), (None, t[5]), (3, t[5]), (5, None), (5, "")]
+    rows = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.select(*[rows[c].cast(docs.schema[c].dataType) for c in docs.columns])
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()]
+    one = [x for x in got if x[1].startswith(t[3])]  # t[3] and "more" are near-duplicates of one id
+    assert len(one) == 1 and one[0][0] == 7
+    assert sorted(((i is not None, i or 0, x) for i, x in got if (i, x) not in one)) == sorted([(False, 0, t[0]), (False, 0, t[1]), (True, 7, t[2]), (True, 8, t[4]), (False, 0, t[5]), (True, 5, "")])
+
+
 def test_names():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
