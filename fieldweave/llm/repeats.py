@@ -7,17 +7,22 @@ A window is a string of ``length`` bytes; every byte of a window that also start
    bytes is compared, not every window.
 2. Runs of other hashes get their bytes. Runs that are alike as a whole are counted by a digest, with
    partial sums before the exchange, and repeat entirely.
-3. What differs under one hash is sorted as suffixes (:mod:`suffixes`) in tasks of bounded size. A
-   hash with more than ``max_group`` different runs isn't gathered: its windows are counted by two
-   64-bit hashes in an ordinary aggregation.
+3. What differs under one hash is sorted as suffixes (:mod:`suffixes`) in tasks of bounded bytes. A
+   hash whose different runs have more bytes than a task holds (a passage with thousands of
+   surroundings) is thinned out first: a count of window hashes, with partial sums, tells which windows
+   can repeat at all; what is left of the runs is cut to them, and equal cuts are one again. Only if
+   even these exceed a task are they compared without it, by digests of their windows' bytes.
 4. The spans go back to their documents.
 
+A run has at most ``RUN_WINDOWS`` windows, so a text of one repeated byte is many small runs, not one.
+
 Texts cross the network twice, by (id, digest), which no copy shares with many others; copies of one
 text are known from a count of digests and never meet. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ from .suffixes import BYTE, U64, anchors, mix, repeated, slice_hashes
 from .tables import fresh
 from .textbuf import pieces, prefix_hashes
 
-LENGTH, MAX_GROUP, TASK_RUNS = 400, 256, 2048
+LENGTH, TASK_BYTES, RUN_WINDOWS = 400, 1 << 19, 1024
 _RUNS = "array<struct<h: long, at: int, n: int, again: int>>"
 
 
@@ -44,7 +49,7 @@ def _find_runs(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(2)):
-                found = [anchors(data[a:b], length, gram) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                found = [anchors(data[a:b], length, gram, most=RUN_WINDOWS) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 h, at, n, again = (np.concatenate([f[i] for f in found]) for i in range(4))
                 ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
                 struct = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, n, again))], ["h", "at", "n", "again"])
@@ -87,23 +92,98 @@ def _sort_suffixes(length: int, gram: int):
 
 
 def _all_windows(length: int):
+    """``(kind, bytes)`` to a row for each window: ``kind``, its place, and a 64-bit hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "digest", "copies", "w", "w1", "w2"]
         for batch in batches:
+            kinds, spots, hashes, size = [], [], [], 0
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                for a in range(0, len(data) - length + 1, 1 << 16):
-                    part = data[a : a + (1 << 16) + length - 1]
-                    at = np.arange(len(part) - length + 1)
-                    one = slice_hashes(prefix_hashes(BYTE[part]), at, at + length)
-                    two = slice_hashes(prefix_hashes(mix(BYTE[part] + U64(1)) | U64(1)), at, at + length)
-                    same = [pa.array([batch.column(k)[i].as_py()] * len(at), t) for k, t in ((0, pa.int64()), (1, pa.binary()), (3, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array((at + a).astype(np.int32)), pa.array(mix(one).view(np.int64)), pa.array(two.view(np.int64))], names)
+                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                at = np.arange(len(data) - length + 1)
+                hashes.append(mix(slice_hashes(prefix_hashes(BYTE[data]), at, at + length)).view(np.int64))
+                kinds.append(np.full(len(at), batch.column(0)[i].as_py()))
+                spots.append(at.astype(np.int32))
+                size += len(at)
+                if size >= 1 << 16 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, spots, hashes)], ["kind", "w", "w1"])
+                    kinds, spots, hashes, size = [], [], [], 0
+
+    return run
+
+
+def _cut_to(length: int):
+    """Runs and the windows of them that may repeat, to the runs of such windows with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "digest", "copies", "from", "bytes"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            out = []
+            for h, digest, copies, data, ws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = np.sort(np.array(ws))
+                cuts = np.flatnonzero(np.diff(w) > 1) + 1
+                out += [(h, digest, copies, int(r[0]), data[r[0] : r[-1] + length]) for r in np.split(w, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names)
+
+    return run
+
+
+def _digest_windows(length: int):
+    """``(part, bytes)`` to a row for each window with the digest of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(data) - length + 1
+                told = [hashlib.md5(data[w : w + length]).digest() for w in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(told, pa.binary())], ["part", "w", "told"])
 
     return run
 
 
-def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *, length: int = LENGTH, max_group: int = MAX_GROUP, task_runs: int = TASK_RUNS) -> DataFrame:
+_RANGES = "array<struct<a: int, b: int>>"
+
+
+def _open_groups(kinds: DataFrame, name: str) -> DataFrame:
+    """Kinds under a hash that has several, or one that may repeat itself, some of them standing once; ``total``: bytes of the hash."""
+    sizes = kinds.groupBy("h").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.max("again").alias("again"), F.sum(F.octet_length("bytes")).alias("total"))
+    sizes = materialize(sizes.where("least = 1 and (c > 1 or again = 1)").select("h", "total"), name)
+    return kinds.join(sizes, "h")
+
+
+def _sorted(groups: DataFrame, length: int, gram: int, task_bytes: int) -> DataFrame:
+    """``h, digest, ranges`` of the kinds of groups that a task can hold, by suffix sort."""
+    total = groups.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+    dealt = groups.select(F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int").alias("_task"), "h", "digest", "copies", "bytes")
+    return dealt.groupBy("_task").applyInArrow(_sort_suffixes(length, gram), f"h long, digest binary, ranges {_RANGES}")
+
+
+def _thinned(large: DataFrame, length: int, gram: int, task_bytes: int) -> DataFrame:
+    """``h, digest, ranges`` of the kinds of groups that no task holds."""
+    large = materialize(large.select(F.monotonically_increasing_id().alias("kind"), "h", "digest", "copies", "bytes"), "large")
+    windows = large.select("kind", "bytes").mapInArrow(_all_windows(length), "kind long, w int, w1 long")
+    twice = materialize(windows.groupBy("w1").agg(F.count("*").alias("c")).where("c > 1").select("w1"), "twice")
+    left = windows.join(twice, "w1").groupBy("kind").agg(F.collect_list("w").alias("ws"))
+    cut = large.join(left, "kind").select("h", "digest", "copies", "bytes", "ws").mapInArrow(_cut_to(length), "h long, digest binary, copies long, from int, bytes binary")
+    cut = materialize(cut.withColumn("cut", F.unhex(F.md5("bytes"))), "cuts")
+    parts = cut.groupBy("h", "cut").agg(F.count("*").alias("n"), F.max("copies").alias("most"), F.first("bytes").alias("bytes"))
+    parts = materialize(parts.select("h", F.col("cut").alias("digest"), F.greatest("n", "most").alias("copies"), F.lit(1).alias("again"), "bytes"), "parts")
+    open_ = _open_groups(parts, "part-sizes")
+    again = _sorted(open_.where(F.col("total") <= task_bytes), length, gram, task_bytes)
+    rest = materialize(open_.where(F.col("total") > task_bytes).select(F.monotonically_increasing_id().alias("part"), "h", "digest", "copies", "bytes"), "rest")
+    every = rest.select("part", "bytes").mapInArrow(_digest_windows(length), "part long, w int, told binary")
+    alike = materialize(every.groupBy("told").agg(F.count("*").alias("c")).where("c > 1").select("told"), "alike")
+    found = every.join(alike, "told").groupBy("part").agg(F.collect_list(F.struct(F.col("w").alias("a"), (F.col("w") + 1).alias("b"))).alias("ranges"))
+    counted = rest.where("copies = 1").join(found, "part").select("h", "digest", "ranges")
+    entire = parts.where("copies > 1").select("h", "digest", F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length + 1).alias("b"))).alias("ranges"))
+    inner = entire.unionByName(again).unionByName(counted).select("h", F.col("digest").alias("cut"), "ranges")
+    alone = cut.where("copies = 1").select("h", "digest", "from", "cut").join(inner, ["h", "cut"])
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("from")).alias("a"), (r["b"] + F.col("from")).alias("b")))
+    return alone.select("h", "digest", moved.alias("ranges"))
+
+
+def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *, length: int = LENGTH, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``_id, _digest, whole, spans`` for each (id, text) with bytes to remove; one row each.
 
     ``whole`` says that all bytes go, as the text stands twice; else ``spans`` has struct ``(a, b)``
@@ -116,22 +196,18 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *, le
     texts = materialize(texts, "texts")
     runs = first.join(texts.select("_id", "_digest"), ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
     runs = materialize(runs.select("_id", "_digest", F.inline("runs")), "anchors")
-    hot = runs.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again = 1").select("h")
+    # what is stored is read by both sides of a join as it is, so that a hot key's partition can be split
+    hot = materialize(runs.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again = 1").select("h"), "hot")
     own = runs.join(hot, "h").groupBy("_id", "_digest").agg(F.collect_list(F.struct("h", "at", "n", "again")).alias("runs"))
     placed = rows.where(F.octet_length("_text") >= length).join(own, ["_id", "_digest"]).select("_id", "_digest", "_text", "runs")
     held = placed.mapInArrow(_get_bytes(length), "_id long, _digest binary, h long, at int, n int, again int, bytes binary")
     held = materialize(held.withColumn("digest", F.unhex(F.md5("bytes"))), "held")
     kinds = materialize(held.groupBy("h", "digest").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("again").alias("again"), F.first("bytes").alias("bytes")), "kinds")
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("c"), F.min("copies").alias("least"), F.max("again").alias("again")).where("least = 1 and (c > 1 or again = 1)").select("h", "c")
-    open_ = kinds.join(sizes, "h")
-    tasks = max(1, -(-kinds.count() // task_runs))
-    small = open_.where(F.col("c") <= max_group).withColumn("_task", F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int"))
-    sorted_ = small.select("_task", "h", "digest", "copies", "bytes").groupBy("_task").applyInArrow(_sort_suffixes(length, gram), "h long, digest binary, ranges array<struct<a: int, b: int>>")
-    windows = open_.where(F.col("c") > max_group).select("h", "digest", "bytes", "copies").mapInArrow(_all_windows(length), "h long, digest binary, copies long, w int, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    counted = windows.where("copies = 1").join(twice, ["w1", "w2"]).groupBy("h", "digest").agg(F.collect_list(F.struct(F.col("w").alias("a"), (F.col("w") + 1).alias("b"))).alias("ranges"))
+    open_ = _open_groups(kinds, "sizes")
+    sorted_ = _sorted(open_.where(F.col("total") <= task_bytes), length, gram, task_bytes)
+    thinned = _thinned(open_.where(F.col("total") > task_bytes), length, gram, task_bytes)
     entire = kinds.where("copies > 1").select("h", "digest", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
-    ranges = entire.unionByName(sorted_).unionByName(counted)
+    ranges = materialize(entire.unionByName(sorted_).unionByName(thinned), "ranges")
     spans = held.select("_id", "_digest", "h", "digest", "at").join(ranges, ["h", "digest"]).select("_id", "_digest", F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"] - 1 + length).alias("b"))).alias("s"))
     spans = spans.groupBy("_id", "_digest").agg(F.flatten(F.collect_list("s")).alias("spans"))
     many = first.where(F.size("runs") > 0).join(texts.where("copies > 1").select("_digest"), "_digest").select("_id", "_digest").distinct()
@@ -192,7 +268,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """``op10_remove_repeats``: what stays of all documents."""
+    """``op10_remove_repeats``: what stays of all documents; ``text`` is the kept text, with characters that a cut would split."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = F.col("repeats")
-    return remove_repeats(docs).select("doc_id", r["n_bytes"].alias("n_bytes"), r["n_removed"].alias("n_removed"), r["n_spans"].alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", r["n_bytes"].alias("n_bytes"), r["n_removed"].alias("n_removed"), r["n_spans"].alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"), r["text"].alias("text"))

@@ -15,12 +15,12 @@ from .textbuf import BYTE, INVERSE, U64, mix, powers, prefix_hashes, slice_hashe
 VERIFY_ROWS = 4096
 
 
-def anchors(data: np.ndarray, length: int, gram: int, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, gram: int, part: int = 1 << 20, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of ``length`` bytes with one least ``gram`` hash: hash, first window, windows, again.
 
     Equal windows have equal least hashes wherever they stand, so windows of different hashes never
     repeat each other. ``again`` is 1 where the gram stands twice in the part, so that windows of one
-    run may repeat each other. Long texts are worked on in parts.
+    run may repeat each other, and of runs cut at ``most`` windows. Long texts are worked on in parts.
     """
     total, keys, firsts, counts, again = len(data) - length + 1, [], [], [], []
     for a in range(0, max(total, 0), part):
@@ -36,6 +36,10 @@ def anchors(data: np.ndarray, length: int, gram: int, part: int = 1 << 20) -> tu
         onward = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
         least = np.minimum(onward[:n], upto[wide - 1 : wide - 1 + n])
         at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        wide_runs = np.diff(np.append(at, n))
+        cuts = -(-wide_runs // most)  # a run of more windows is several
+        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        at = np.repeat(at, cuts) + nth * most
         keys.append(least[at])
         firsts.append(at + a)
         counts.append(np.diff(np.append(at, n)))

@@ -145,7 +145,7 @@ def test_suffixes_against_all_windows():
         seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         contexts, keys, owner = [], [], []
         for j, t in enumerate(texts):
-            for h, at, n, _ in zip(*suffixes.anchors(np.frombuffer(t, np.uint8), length, gram, part=r.choice([9, 1000])), strict=True):
+            for h, at, n, _ in zip(*suffixes.anchors(np.frombuffer(t, np.uint8), length, gram, part=r.choice([9, 1000]), most=r.choice([3, 1000])), strict=True):
                 contexts.append(t[at : at + n - 1 + length])
                 keys.append(h)
                 owner.append((j, int(at)))
@@ -158,8 +158,8 @@ def test_suffixes_against_all_windows():
 
 def test_repeats(docs, none):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    for most in (256, 1):
-        got = sorted((r.doc_id, *r["repeats_"]) for r in repeats.remove_repeats(docs, length=60, max_group=most).collect())
+    for most in (1 << 19, 600, 1):  # in tasks, thinned out first, and by digests alone
+        got = sorted((r.doc_id, *r["repeats_"]) for r in repeats.remove_repeats(docs, length=60, task_bytes=most).collect())
         seen, want = Counter(t[i : i + 60] for _, t in rows for i in range(len(t) - 59)), []
         for i, t in rows:
             gone = bytearray(len(t))
