@@ -1,18 +1,22 @@
 """Main text of web pages by two passes of block rules.
 
 Markup becomes blocks of text. In the first pass, link density, length and stop-word density decide
-each block, with what its place tells: elements of menus, headers, footers, sidebars and forms and names of
+each block. What its place tells is one more feature: inside a marked article the same densities are asked for at
+lower limits, elements of menus, headers, footers, sidebars and forms and names of
 adverts, consents and reader comments are never text, other names of the frame are overruled by long
-unlinked text, and where a page marks its article, nothing outside is. In the second pass, blocks that were too short to decide take the label of the
-nearest decided neighbours. Good blocks are joined in page order.
+unlinked text, and where a page marks its article, nothing outside is. In the second pass, blocks that the first left
+open take the label of the nearest decided neighbours. Good blocks are joined in page order.
 
-Scale: a map over pages without a shuffle; a page is handled alone.
+Scale: a map over pages without a shuffle; a page is handled alone. Markup is scanned in linear time, however
+many tags, quotes or elements are left open, so that one broken page can't hold up a task.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import fresh
+
 #: Elements whose content is never text of the page; they end at their own end tag.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video", "noembed", "noframes", "xmp")
 #: Those that hold all up to the page's end if they have no end tag; of the others, only the tag goes then.
@@ -52,20 +58,17 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais me ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tu un une vous y "
     "al como con del el ella ellos era es esta este está fue ha hay las lo los mi más muy no o para pero por se sin sobre su sus también te una uno ya".split()
 )
-#: Limits of the first pass.
-MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.15, 0.30
+#: Limits of the first pass: links, short and long texts, and stop words; the last four also inside a marked article.
+MAX_LINKS = 0.4
+SHORT, LONG, STOP_LOW, STOP_HIGH = 70, 200, 0.15, 0.30
+MARKED_SHORT, MARKED_LONG, MARKED_LOW, MARKED_HIGH = 30, 70, 0.05, 0.20
 #: Most links in a block whose text overrules a name.
 NAMED_LINKS = 0.1
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?/][^>]*>""", re.S)
 _NAME = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
-_RAW_TAG = {
-    name: re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)(?=[\s/>])|\Z)|<(/?){name}(?=[\s/>])((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.I | re.S)
-    for name in RAW
-    if name not in TO_END
-}
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in TO_END}
 _OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]*/$""")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 _STRIP = {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„"}
@@ -116,17 +119,90 @@ def _self_closed(name: str, attributes: str) -> bool:
     return name in ("svg", "math") and attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
 
 
-def _ends(page: str, name: str) -> dict[int, int]:
-    """Where the elements ``name`` that have an end tag end, by the end of their opening tag."""
-    out, begun = {}, []
-    for m in _RAW_TAG[name].finditer(page):
-        if m[2] is None:
+@dataclass
+class Tag:
+    start: int
+    end: int
+    close: bool
+    name: str  # empty for comments, declarations and the like
+    attributes: str
+
+
+class _Scanner:
+    """Tags of a page in order, in linear time.
+
+    A tag ends at the first ``>`` outside of quotes. A '<' whose tag does not end is text. Positions of quotes
+    and ends are listed once; where a tag was found not to end, every tag that comes to one of the places it passed
+    outside of quotes does not end either, so no place is passed twice in vain.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks = [m.start() for m in re.finditer("[\"'>]", page)]
+        self.quotes = {q: [i for i in self.marks if page[i] == q] for q in "\"'"}
+        self.last_end = page.rfind(">")
+        self.dead: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """The place after the ``>`` that ends a tag whose name ends at ``at``; -1 if none does."""
+        if at > self.last_end:
+            return -1
+        passed, i = [], bisect_left(self.marks, at)
+        while i < len(self.marks) and i not in self.dead:
+            spot = self.marks[i]
+            if self.page[spot] == ">":
+                return spot + 1
+            passed.append(i)
+            same = self.quotes[self.page[spot]]
+            k = bisect_left(same, spot + 1)
+            if k == len(same):
+                break
+            i = bisect_left(self.marks, same[k]) + 1
+        self.dead.update(passed)
+        return -1
+
+    def tags(self) -> Iterator[Tag]:
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                yield Tag(at, at := len(page) if end < 0 else end + 3, False, "", "")
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                yield Tag(at, at := len(page) if end < 0 else end + 3, False, "", "")
+            elif m := _TAG_NAME.match(page, at):
+                if (end := self.tag_end(m.end())) < 0:
+                    at += 1
+                    continue
+                name, close = m[1].lower(), page[at + 1] == "/"
+                yield Tag(at, end, close, name, page[m.end() : end - 1])
+                at = end
+                if not close and name in TO_END:  # its content is no markup
+                    found = _RAW_END[name].search(page, at)
+                    at = len(page) if not found else found.start()
+            elif at + 1 < len(page) and page[at + 1] in "!?/" and at < self.last_end:
+                yield Tag(at, at := page.find(">", at) + 1, False, "", "")
+            else:
+                at += 1
+
+
+def _skipped(tags: list[Tag]) -> dict[int, int]:
+    """For the opening tags of elements without text: the number of the tag that ends them.
+
+    Those that hold all up to the page's end if nothing ends them end at the page's end; of the others, only the tag goes then.
+    """
+    out, begun = {}, {name: [] for name in RAW}
+    for i, t in enumerate(tags):
+        if t.name not in begun:
             continue
-        if not m[1]:
-            if not _self_closed(name, m[2]):
-                begun.append(m.end())
-        elif begun:
-            out[begun.pop()] = m.end()
+        if t.name in TO_END:
+            if not t.close:
+                out[i] = i + 1
+        elif t.close:
+            if begun[t.name]:
+                out[begun[t.name].pop()] = i
+        elif not _self_closed(t.name, t.attributes):
+            begun[t.name].append(i)
     return out
 
 
@@ -134,44 +210,42 @@ def blocks(page: str) -> list[Block]:
     """A page's blocks of text in order. Markup may be cut off or wrongly nested."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, bool, bool]] = []  # element, framed, article, named, inner
-    text: list[str] = []
-    linked = articles = in_link = 0
+    opened: Counter[str] = Counter()  # names on the stack
+    text: list[tuple[str, bool]] = []
+    articles = in_link = 0
     heading = False
-    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
+            whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             if whole:
                 _, framed, article, by_name, inner = stack[-1] if stack else ("", False, 0, False, False)
+                linked = sum(len(" ".join(html.unescape(t).split())) for t, link in text if link)
                 out.append(Block(whole, linked, framed, article, heading, named=by_name, inner=inner))
-        text, linked = [], 0
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            if in_link:
-                linked += len(" ".join(text[-1].split()))
-        at = m.end()
-        if m[2] is None:
+        text = []
+
+    tags = list(_Scanner(page).tags())
+    skipped = _skipped(tags)
+    at = i = 0
+    while i < len(tags):
+        t = tags[i]
+        if t.start > at:
+            text.append((page[at : t.start], bool(in_link)))
+        at, i = t.end, i + 1
+        close, name, attributes = t.close, t.name, t.attributes
+        if not name:
             continue
-        close, name, attributes = m[1], m[2].lower(), m[3]
-        if not close and name in _RAW_END:
-            if name in TO_END:
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
-            elif not _self_closed(name, attributes):
-                if name not in ends:
-                    ends[name] = _ends(page, name)
-                at = ends[name].get(at, at)
-            text.append(" ")
+        if not close and name in RAW:
+            if i - 1 in skipped:
+                last = skipped[i - 1]
+                at, i = (tags[last].end, last + 1) if last < len(tags) else (len(page), last)
+            text.append((" ", False))
             continue
         if name == "a":
             in_link = 0 if close else 1
         elif name == "br":
-            text.append(" ")
+            text.append((" ", False))
         elif name in BREAKS:
             flush()
             heading = not close and name in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -184,21 +258,24 @@ def blocks(page: str) -> list[Block]:
         if not close:
             if name in ("article", "main") and not named:
                 while stack and stack[-1][0] in ("nav", "header", "head"):  # left open
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             _, framed, article, by_name, inner = stack[-1] if stack else ("", False, 0, False, False)
             if name in ("article", "main") and not framed and not article:
                 articles += 1
                 article, by_name, inner = articles, False, by_name
             stack.append((name, framed or named == 2 or (name in FRAME and not (name == "header" and article)), article, by_name or named == 1, inner))
-        elif any(name == s[0] for s in stack):
+            opened[name] += 1
+        elif opened[name] > 0:
             if name not in BREAKS:
                 flush()
-            while stack.pop()[0] != name:
-                pass
+            gone = ""
+            while gone != name:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
     tail = page[at:]
     if cut := _CUT_TAG.search(tail):  # a tag that the page's end cuts off
         tail = tail[: cut.start()]
-    text.append(tail)
+    text.append((tail, bool(in_link)))
     flush()
     return out
 
@@ -232,21 +309,24 @@ def first_pass(b: Block, marked: bool) -> str:
     n = len(b.text)
     if b.linked / n > MAX_LINKS:
         return "bad"
-    if b.article:
-        return "good" if n >= SHORT or stop_density(b.text) >= STOP_HIGH else "short"
-    if n < SHORT:
-        return "bad" if b.linked else "short"
+    short, long, low, high = (MARKED_SHORT, MARKED_LONG, MARKED_LOW, MARKED_HIGH) if b.article else (SHORT, LONG, STOP_LOW, STOP_HIGH)
+    if n < short:
+        return "bad" if b.linked and not b.article else "short"
     density = stop_density(b.text)
-    if density >= STOP_HIGH:
-        return "good" if n >= LONG else "near"
-    return "near" if density >= STOP_LOW or n >= LONG else "bad"
+    if density >= high:
+        return "good" if n >= long else "near"
+    if density >= low or n >= long:
+        return "near"
+    return "short" if b.article else "bad"
 
 
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the label of the nearest decided neighbours, within one article.
 
-    Blocks of the page's frame decide nothing about others; where no block decides, text is kept.
+    Blocks of the page's frame decide nothing about others; where no block decides, and in an article of which
+    no block is surely text, text is kept.
     """
+    told = {b.article for b in found if b.article and b.label == "good"}
     sure = [b.label in ("good", "bad") and not b.framed for b in found]
     before, after = [None] * len(found), [None] * len(found)
     for order, into in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
@@ -262,7 +342,7 @@ def second_pass(found: list[Block]) -> None:
             continue
         sides = [(abs(j - i), found[j].label) for j in (before[i], after[i]) if j is not None]
         labels = {s for _, s in sides}
-        if not sides:
+        if not sides or (b.article and b.article not in told):
             b.label = "good"
         elif len(labels) == 1:
             b.label = labels.pop()
@@ -288,18 +368,21 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` but ``column``, with ``text`` and ``n_chars`` (code points).
 
-    Columns of ``pages`` that are called so are left out. Repeated rows stay; a null page is empty.
+    Where ``pages`` has columns of these names, they stay and the new ones are ``text_`` and ``n_chars_``. Repeated
+    rows stay; a null page is empty; an empty table gives an empty result.
     """
-    kept = [c for c in pages.columns if c not in (column, "text", "n_chars")]
-    chosen = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(column).cast("string").alias("_page"))
+    kept = [c for c in pages.columns if c != column]
+    names = [f"c{i}" for i in range(len(kept))]
+    chosen = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(column).cast("string").alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py()) for p in batch.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"])
+            texts = [main_text(p.as_py()) for p in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
-    schema = chosen.drop("_page").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return chosen.mapInArrow(run, schema)
+    schema = chosen.drop("page").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    others = pages.drop(column)
+    return chosen.mapInArrow(run, schema).toDF(*kept, fresh(others, "text"), fresh(others, "n_chars"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -76,6 +76,18 @@ def test_best_fit_closes_the_fullest():
     assert [b.add(s) for s in (6, 7, 3, 8, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6)]
 
 
+def test_packing_needs_few_sequences_in_bounded_space():
+    sizes = np.minimum(np.random.default_rng(2).lognormal(6.0, 0.7, 60_000).astype(int) + 1, 1023)
+    b, most = packing.BestFit(), 0
+    for a in range(0, len(sizes), packing.LOOK_AHEAD):  # as batches arrive
+        b.add_all(sizes[a : a + packing.LOOK_AHEAD])
+        most = max(most, b.now_open)
+    assert most == packing.OPEN_BINS  # the bound binds
+    assert b.opened <= 1.01 * sizes.sum() / packing.CAPACITY
+    alone = packing.BestFit()
+    assert alone.add_all(sizes, 1).shape == (60_000, 2) and alone.opened <= 1.05 * sizes.sum() / packing.CAPACITY
+
+
 def test_mixing(docs, none):
     got = mixing.mix_sources(docs, cell_rows=8)
     assert set(docs.columns) | {"mix_"} == set(got.columns)
@@ -177,7 +189,7 @@ def test_top_k(spark):
     v = [[float(x) for x in r.integers(-40, 40, 70) / 64] for _ in range(60)]
     rows = [(i, x) for i, x in enumerate(v)] + [(100, v[20]), (7, v[7]), (101, None), (102, [None] * 70), (103, [float("nan")] * 70), (None, v[0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, candidate_block=16, query_block=2).collect()))
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, candidate_block=16, chunk_blocks=2, query_block=2, first_strip=8).collect()))
     usable = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows if i is not None and x is not None and x[0] is not None and x[0] == x[0]]
     want = []
     for a, (q, x) in enumerate(usable):
@@ -188,6 +200,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_prunes():
+    r = np.random.default_rng(1)
+    v = r.normal(size=(8000, 64))
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    tags, q = np.arange(8000), v[:40]
+    s = topk.Search(q, tags[:40], 20)
+    columns = np.ascontiguousarray(v.T)
+    mass = topk.masses(columns, s.cuts)
+    for at in topk.strips(8000):
+        s.show(columns[:, at], mass[:, at], tags[at], tags[at])
+    scores = q @ columns
+    for i in range(40):
+        scores[i, i] = -np.inf
+        assert s.best[i][1].tolist() == np.lexsort((tags, -scores[i]))[:20].tolist()
+    assert s.all_products == 40 * 8000 * 64 and s.products < 0.9 * s.all_products
+
+
 def test_media_round_trip(spark, docs, none, tmp_path):
     got = {(r.doc_id, r.n_bytes, bytes(r.payload)) for r in archives.store_media(docs).collect()}
     assert got == {(r.doc_id, len((r.text or "").encode()), archives.pad((r.text or "").encode())) for r in docs.collect()}
@@ -208,7 +237,7 @@ def test_pages(spark):
     assert pages.main_text(page) == "Title One & two. three"
     assert [pages.main_text(x) for x in (None, "", "<p>", "plain <b>x")] == ["", "", "", "plain x"]
     t = spark.createDataFrame([(1, page, "u"), (1, page, "u"), (2, None, None)], "page_id long, html string, url string").withColumn("n_chars", F.lit("x"))
-    assert sorted((r.page_id, r.n_chars) for r in pages.extract_main_text(t).collect()) == [(1, 22), (1, 22), (2, 0)]
+    assert sorted((r.page_id, r["n_chars_"], r.n_chars) for r in pages.extract_main_text(t).collect()) == [(1, 22, "x"), (1, 22, "x"), (2, 0, "x")]
     assert pages.extract_main_text(t.limit(0)).count() == 0
 
 
@@ -242,6 +271,67 @@ def test_page_names_yield_to_text():
     assert pages.main_text(f'<article><p>{story}</p><p class="notice">Mind the gap.</p><p class="share-bar"><a href="x">{story}</a></p></article>') == story
 
 
+#: Pages by hand: marked and unmarked ones, and what a reader would call their text.
+LONG_EN = "When the river rose in the spring, the people of the valley moved their boats to the old mill, and they stayed there until the water had gone back to its bed. "
+LONG_DE = "Als der Fluss im Frühling stieg, brachten die Leute des Tals ihre Boote zu der alten Mühle, und sie blieben dort, bis das Wasser wieder in seinem Bett war. "
+BY_HAND = [
+    (f"<body><h1>The flood</h1><p>{LONG_EN}{LONG_EN}</p><p>So it was.</p><p>{LONG_EN}{LONG_EN}</p></body>", f"The flood {LONG_EN}{LONG_EN}So it was. {LONG_EN}{LONG_EN}"),
+    (f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul><p>{LONG_DE}{LONG_DE}</p><p><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></p></body>", f"{LONG_DE}{LONG_DE}"),
+    (f"<div><p>Red, blue, green, white, black, brown, grey, pink, gold, silver, bronze, amber, olive, coral.</p></div><p>{LONG_EN}{LONG_EN}</p>", f"{LONG_EN}{LONG_EN}"),
+    (f"<p>{LONG_EN}{LONG_EN}</p><p>Red blue green white black brown grey pink gold silver, and so the list of it goes on.</p><p>{LONG_EN}{LONG_EN}</p>", f"{LONG_EN}{LONG_EN}Red blue green white black brown grey pink gold silver, and so the list of it goes on. {LONG_EN}{LONG_EN}"),
+    (f"<article><h2>Flood</h2><p>{LONG_EN}</p><pre>x = 1; y = 2; z = x + y; print(z, x, y); exit(0); return; pass; break; next</pre><p>{LONG_DE}</p><p><a href=1>Read next: the drought</a></p></article><p>{LONG_EN}</p>", f"Flood {LONG_EN}x = 1; y = 2; z = x + y; print(z, x, y); exit(0); return; pass; break; next {LONG_DE}"),
+    ("<article><p>Kurz.</p><p><a href=1>Mehr davon</a></p></article>", "Kurz."),
+    ("<p>5 < 6 and the rest of the page, as it was when we were there with you, is text as well</p>", "5 < 6 and the rest of the page, as it was when we were there with you, is text as well"),
+    (f"<main><p>{LONG_EN}</p><a href=x>R&eacute;sum&eacute;&nbsp;&amp;&nbsp;more</a></main>", LONG_EN),
+]
+
+
+def test_pages_by_hand():
+    for page, text in BY_HAND:
+        assert pages.main_text(page) == text.strip(), page[:80]
+
+
+def _naive_tags(page):
+    """Tags by walking every character, from each '<' anew."""
+    at, out = 0, []
+    while at < len(page):
+        if page[at] == "<" and (m := re.match(r"</?[a-zA-Z][^\s/>]*", page[at:])):
+            i, quote = at + len(m[0]), ""
+            while i < len(page) and (quote or page[i] != ">"):
+                quote = ("" if page[i] == quote else quote) if quote else page[i] if page[i] in "\"'" else ""
+                i += 1
+            if i < len(page):
+                out.append((at, i + 1))
+                at = i
+        at += 1
+    return out
+
+
+def test_page_scanner_against_a_slow_one():
+    r = random.Random(8)
+    for _ in range(2000):
+        page = "".join(r.choice(["<a ", "</b", ">", '"', "'", "x", " ", "=", "<", "<i>", "/"]) for _ in range(r.randint(0, 25)))
+        page = re.sub(r"</[^a-zA-Z]", "x", page)
+        page = page.removesuffix("</")
+        assert [(t.start, t.end) for t in pages._Scanner(page).tags()] == _naive_tags(page), page
+
+
+def test_page_scanner_is_linear():
+    import time
+
+    for part in ("<x ", '<a "', "<a '\"", "<svg ", "<svg>", "</", "<!", '<a href="x>', "<div>", "<div></p>"):
+        page = part * (1_000_000 // len(part))
+        began = time.perf_counter()
+        pages.main_text(page)
+        assert time.perf_counter() - began < 20, part  # seconds where it was minutes
+
+
+def test_page_columns_with_clashing_names(spark):
+    t = spark.createDataFrame([(1, "<p>Hi there</p>", "u", 5, "x", "y")], "page_id long, html string, _page string, n_chars int, text string, c0 string")
+    got = pages.extract_main_text(t).first().asDict()
+    assert got == {"page_id": 1, "_page": "u", "n_chars": 5, "text": "x", "c0": "y", "text_": "Hi there", "n_chars_": 8}
+
+
 def test_trees_and_isotonic():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 4))
