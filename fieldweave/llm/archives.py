@@ -3,9 +3,10 @@
 Writing: each task packs its rows as greyscale PNG files (8-bit samples, 192 a line, lossless) into
 archives of bounded size in the shared folder. Reading: the data source ``media_archive`` lists the
 archives, plans a partition for every byte range of them, and each task takes the members that begin
-in its range from the archive's directory, streams them as Arrow batches of bounded size, and retries
-every member alone by seeking to its offset. A member that stays unreadable comes back with a null
-payload and the error's text; it never takes its neighbours with it.
+in its range from the archive's directory and streams them, by one open file, as Arrow batches of bounded size. A
+member that can't be read is retried alone: the file is opened anew and the member's offset sought. One that stays
+unreadable comes back with a null payload and the error's text; it never takes its neighbours with it. An archive that an
+index lists has to be there with as many members as the index says; where it isn't, the read fails rather than lose rows.
 
 Scale: both ways are maps without a shuffle; the driver sees the list of archives only, never their
 members. An attempt that fails leaves an archive that no index row names, so reruns cannot double rows.
@@ -136,14 +137,17 @@ def write_archives(docs: DataFrame, folder: str, text: str = "text", key: str =
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Members that begin in a range of an archive's bytes; ``members``: how many the whole archive has, if known."""
+
+    def __init__(self, path: str, first: int, last: int, members: int | None = None):
+        self.path, self.first, self.last, self.members = path, first, last, members
 
 
 class MediaReader(DataSourceReader):
-    """Byte ranges of all archives below ``path``; ``tries`` bounds the attempts at one member.
+    """Byte ranges of all archives below ``path``; ``tries`` bounds the attempts at one member or directory.
 
-    ``live`` may name a Parquet table whose column ``archive`` says which archives count.
+    ``live`` may name a Parquet table whose columns ``archive, members`` say which archives count and how many
+    members each has: others are leftovers of lost attempts. Without it, what is no whole archive is skipped.
     """
 
     def __init__(self, options: dict):
@@ -155,55 +159,75 @@ class MediaReader(DataSourceReader):
         scheme = self.path[: len(self.path) - len(at)]
         found = system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip"))
+        members = {}
         if self.live:
-            system, at = _open(self.live)
-            names = {n.rpartition("/")[2] for n in ds.dataset(at, filesystem=system, format="parquet").to_table(["archive"]).column(0).to_pylist()}
-            files = [f for f in files if f[0].rpartition("/")[2] in names]
-        return [ByteRange(scheme + p, a, min(a + self.range_bytes, size)) for p, size in files for a in range(0, size, self.range_bytes)]
+            index_system, index = _open(self.live)
+            for batch in ds.dataset(index, filesystem=index_system, format="parquet").to_batches(columns=["archive", "members"]):
+                members.update(zip((n.rpartition("/")[2] for n in batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True))
+            files = [f for f in files if f[0].rpartition("/")[2] in members]
+            if len(files) < len(members):
+                raise OSError(f"{len(members) - len(files)} archives that {self.live} lists are not in {self.path}")
+        return [ByteRange(scheme + p, a, min(a + self.range_bytes, size), members.get(p.rpartition("/")[2])) for p, size in files for a in range(0, size, self.range_bytes)]
+
+    def _directory(self, system, part: ByteRange, at: str) -> list[zipfile.ZipInfo]:
+        """Members of an archive; none of one that isn't whole, unless an index lists it."""
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                with system.open_input_file(at) as source:
+                    if source.size() < zipfile.sizeEndCentDir:
+                        raise zipfile.BadZipFile("too short")
+                    found = zipfile.ZipFile(source).infolist()
+                if part.members is not None and len(found) != part.members:
+                    raise OSError(f"{part.path} has {len(found)} members instead of {part.members}")
+                return found
+            except (zipfile.BadZipFile, OSError) as e:
+                if part.members is None and isinstance(e, zipfile.BadZipFile):  # an attempt that was lost before it closed its archive
+                    return []
+                if not left:
+                    raise OSError(f"{part.path} can't be read: {e}") from e
+        return []
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no archives
             return
         system, at = _open(part.path)
-        rows, size = [], 0
-        with system.open_input_file(at) as source:
-            try:
-                members = zipfile.ZipFile(source).infolist()
-            except zipfile.BadZipFile:  # an attempt that was lost before it closed its archive
-                return
-        for m in members:
+        rows, size, source = [], 0, None
+        for m in self._directory(system, part, at):
             if part.first <= m.header_offset < part.last:
-                row = self._member(system, at, part.path, m)
+                row, source = self._member(system, at, part.path, m, source)
                 rows.append(row)
                 size += len(row[4] or b"")
                 if size >= self.batch_bytes:
                     yield self._batch(rows)
                     rows, size = [], 0
+        if source:
+            source.close()
         if rows:
             yield self._batch(rows)
 
-    def _member(self, system, at: str, path: str, m: zipfile.ZipInfo) -> tuple:
+    def _member(self, system, at: str, path: str, m: zipfile.ZipInfo, source) -> tuple:
+        """The row of a member, and the open file for the next one; a try that fails opens the file anew."""
         owner = m.filename.partition("-")[2].removesuffix(".png")
         doc_id, error = None if owner == "null" else int(owner), ""
         for _ in range(self.tries):
             try:
-                media = self._bytes_at(system, at, m)
+                source = source or system.open_input_file(at)
+                media = self._bytes_at(source, m)
                 n, payload = decode_media(media)
-                return path, m.filename, doc_id, n, payload, len(media), hashlib.sha256(media).hexdigest(), None
-            except (OSError, ValueError, zlib.error) as e:
-                error = f"{type(e).__name__}: {e}"
-        return path, m.filename, doc_id, None, None, None, None, error
+                return (path, m.filename, doc_id, n, payload, len(media), hashlib.sha256(media).hexdigest(), None), source
+            except (OSError, ValueError, zlib.error, struct.error) as e:
+                error, source = f"{type(e).__name__}: {e}", None
+        return (path, m.filename, doc_id, None, None, None, None, error), None
 
     @staticmethod
-    def _bytes_at(system, at: str, m: zipfile.ZipInfo) -> bytes:
+    def _bytes_at(source, m: zipfile.ZipInfo) -> bytes:
         """A stored member's bytes, by its offset alone."""
-        with system.open_input_file(at) as source:
-            source.seek(m.header_offset)
-            head = source.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise ValueError("no member at this offset")
-            source.seek(m.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-            media = source.read(m.file_size)
+        source.seek(m.header_offset)
+        head = source.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError("no member at this offset")
+        source.seek(m.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+        media = source.read(m.file_size)
         if zlib.crc32(media) != m.CRC:
             raise ValueError("the member's checksum differs")
         return media
@@ -235,11 +259,13 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 def store_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every text stored and read back: the columns of the data source.
 
-    Archives that a lost or a second attempt left are in no task's result, and are left out. Repeated rows are members of their own; an empty table stores nothing.
+    Archives that a lost or a second attempt left are in no task's result, and are left out. A null text is an empty
+    one, a null key stays null, repeated rows are members of their own, a text of any length is one member, columns of
+    ``docs`` but these two are left out, whatever their names; an empty table stores nothing.
     """
     spark = docs.sparkSession
     folder, live = new_path(spark, "media"), new_path(spark, "live")
-    write_archives(docs, folder, text, key).select("archive").distinct().write.parquet(live)
+    write_archives(docs, folder, text, key).groupBy("archive").agg(F.count("*").alias("members")).write.parquet(live)
     return read_archives(spark, folder, live=live)
 
 

@@ -232,6 +232,36 @@ def test_media_round_trip(spark, docs, none, tmp_path):
     assert len(back) == docs.count() and sum(r.error is not None for r in back) == 1
 
 
+def test_media_archives_that_an_index_lists(spark, docs, tmp_path):
+    folder, live = f"file://{tmp_path}/a", f"file://{tmp_path}/live"
+    archives.write_archives(docs, folder, archive_bytes=3000).groupBy("archive").agg(F.count("*").alias("members")).write.parquet(live)
+    assert archives.read_archives(spark, folder, live=live).count() == docs.count()
+    (tmp_path / "a" / "left.zip").write_bytes(b"PK no archive")  # what a lost attempt leaves
+    assert archives.read_archives(spark, folder, live=live).count() == docs.count() == archives.read_archives(spark, folder).count()
+    some = sorted(p for p in (tmp_path / "a").iterdir() if p.name != "left.zip")[0]
+    whole = some.read_bytes()
+    some.write_bytes(whole[:-30])
+    with pytest.raises(Exception, match="can't be read"):
+        archives.read_archives(spark, folder, live=live).collect()
+    some.unlink()
+    with pytest.raises(Exception, match="are not in"):
+        archives.read_archives(spark, folder, live=live).collect()
+
+
+def test_media_query_by_column(spark, tmp_path):
+    texts = ["", None, "a" * 192, "b" * 193, "ß é 漢 " * 500, "same", "same"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in archives.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        media = archives.encode_media(data)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), archives.features(payload))
+    assert got[5][1:] == got[6][1:]
+
+
 def test_pages(spark):
     page = "<html><body><div id='cookie-notice'>We use cookies and that is all there is to it for you.</div><nav><a>Home</a></nav><article><h1>Title</h1><p>One &amp; two.<br>three<script>var a='</p>'</script></article><div class='comments'><p>Nice text this is</p></div><footer>x</footer>"
     assert pages.main_text(page) == "Title One & two. three"
