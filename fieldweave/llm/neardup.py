@@ -161,8 +161,9 @@ def _residual_pairs(shared: DataFrame, parts: DataFrame, sets: DataFrame, percen
     around = materialize(placed.join(mixed, "bucket", "left_semi").select("head", "id", "component").distinct(), "around")
     members = around.select("id").distinct()
     items = materialize(members.join(sets, "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "items")
-    often = items.groupBy("s").agg(F.count("*").alias("df"))
-    known = items.join(often, "s").groupBy("id", "n").agg(F.count_if(F.col("df") == 1).alias("u"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("shared"))
+    # stored, so that the join reads both sides as they are and the partition of a hot shingle can be split
+    often = materialize(items.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    known = items.join(often, "s", "left").groupBy("id", "n").agg(F.count_if(F.col("df").isNull()).alias("u"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "s")))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1  # in order of rarity: own shingles come first and meet nobody
     known = known.select("id", "n", "u", F.slice("shared", 1, F.greatest(prefix - F.col("u"), F.lit(0)).cast("int"))["s"].alias("rare"))
     both = around.join(sets, "id").withColumnRenamed("shingles", "x").join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("y")), "head")
@@ -175,7 +176,7 @@ def _residual_pairs(shared: DataFrame, parts: DataFrame, sets: DataFrame, percen
     ids = open_.groupBy("id", "component", "n", "u").agg(F.collect_list(F.struct("head", "main", "d", "e")).alias("hubs"), F.first("rare").alias("rare"))
     ids = ids.withColumn("outside", F.exists("hubs", lambda h: h["main"] != F.col("component")))
     items = materialize(ids.select("id", "component", "n", "u", "hubs", "outside", F.posexplode("rare").alias("at", "s")), "rare")
-    lively = items.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    lively = materialize(items.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s"), "lively")
     items = items.join(lively, "s").withColumn("left", F.col("n") - F.col("u") - F.col("at"))  # from this shingle on
     named = lambda x: items.select("s", *[F.col(c).alias(c + x) for c in ("id", "component", "n", "left", "hubs", "outside")])
     met = named("1").where("outside1").join(named("2"), "s")  # one of the two is outside of a bucket's main component
@@ -232,11 +233,11 @@ def near_duplicates(
         least = labels.join(keys, "id").groupBy("component").agg(F.min(F.struct("k", "id")).alias("least"))
         labels = labels.join(least, "component").select("id", "n", F.col("least.k").alias("component"), F.col("least.id").alias("first"))
         first_id = F.col("first")
-    own = fresh(docs, "near")
-    named = labels.select(F.col("id").alias("_near_id"), F.struct(F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == first_id).alias("kept")).alias(own))
-    joined = docs.withColumn("_near_id", own_id).join(named, "_near_id")
+    own, by = fresh(docs, "near"), fresh(docs, "_near_id")
+    named = labels.select(F.col("id").alias(by), F.struct(F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == first_id).alias("kept")).alias(own))
+    joined = docs.withColumn(by, own_id).join(named, by)
     if number_rows:
-        nth = F.row_number().over(W.partitionBy("_near_id").orderBy(F.xxhash64(text)))
+        nth = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(text)))
         joined = joined.withColumn(own, F.col(own).withField("row", nth))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], own)
 

@@ -48,19 +48,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return fit_trees(np.array([np.frombuffer(r["x"]) for r in got]).reshape(-1, width), np.array([r["y"] for r in got], float))
 
 
-def evidence(docs: DataFrame, model: Trees, text: str, carried: list[str]) -> DataFrame:
-    """The columns ``carried`` and ``_raw``, the classifier's log odds; a null text is an empty one."""
-    names = [f"c{i}" for i in range(len(carried))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+def evidence(docs: DataFrame, model: Trees, text: str, carried: list[str], names: list[str]) -> DataFrame:
+    """The columns ``carried``, called ``names``, and ``raw``, the classifier's log odds; a null text is an empty one."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(len(names))):
                 cut = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*cut.columns[:-1], pa.array(model.raw(describe(Words(data, offsets))))], [*names, "_raw"])
+                yield pa.RecordBatch.from_arrays([*cut.columns[:-1], pa.array(model.raw(describe(Words(data, offsets))))], [*names, "raw"])
 
-    shape = rows.select(*names, F.lit(0.0).alias("_raw")).schema
-    return rows.mapInArrow(run, shape).toDF(*carried, "_raw")
+    return rows.mapInArrow(run, rows.select(*names, F.lit(0.0).alias("raw")).schema)
 
 
 def _logit(p: Column) -> Column:
@@ -94,9 +92,12 @@ def judge(
     """
     carried = carried or docs.columns
     extra = [c for c in (host, path) if c not in carried]
-    scored = materialize(evidence(docs, model, text, [*carried, *extra]), "evidence")
-    good = 1 / (1 + F.exp(-F.col("_raw")))
-    group = [F.struct(F.col(f"`{host}`")).alias("_host"), F.struct(F.col(f"`{path}`")).alias("_path")]
+    # names of its own inside, so that a caller's column may be called anything
+    names = [f"c{i}" for i in range(len(carried) + len(extra))]
+    at = dict(zip([*carried, *extra], names, strict=True))
+    scored = materialize(evidence(docs, model, text, [*carried, *extra], names), "evidence")
+    good = 1 / (1 + F.exp(-F.col("raw")))
+    group = [F.struct(F.col(at[host]).alias("g")).alias("_host"), F.struct(F.col(at[path]).alias("g")).alias("_path")]
     paths = materialize(scored.select(*group, good.alias("g")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("g").alias("s")), "paths")
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
     mean = float((total["s"] or 0.0) + 1) / ((total["n"] or 0) + 2)
@@ -110,10 +111,10 @@ def judge(
         sites = F.broadcast(sites)
     prior = float(np.log(mean / (1 - mean)))
     joined = scored.select("*", *group).join(sites, ["_host", "_path"])
-    odds = F.col("_raw") - prior + _logit(F.least(F.greatest("path", F.lit(1e-6)), F.lit(1 - 1e-6)))
+    odds = F.col("raw") - prior + _logit(F.least(F.greatest("path", F.lit(1e-6)), F.lit(1 - 1e-6)))
     score = 1 / (1 + F.exp(-odds))
-    own = fresh(docs.select(*carried), "quality")
-    return joined.select(*[F.col(f"`{c}`") for c in carried], F.struct(good.alias("document"), "host", "path", score.alias("score"), (score >= keep).alias("kept")).alias(own))
+    own = fresh(docs.select(*[F.col(f"`{c}`") for c in carried]), "quality")
+    return joined.select(*[F.col(at[c]).alias(c) for c in carried], F.struct(good.alias("document"), "host", "path", score.alias("score"), (score >= keep).alias("kept")).alias(own))
 
 
 def model_for(spark, sf_dir: str, docs: DataFrame) -> Trees:
