@@ -107,16 +107,23 @@ def segment_type(c: Column) -> Column:
 
 
 def token_transitions(c: Column) -> Column:
-    """Neighbouring words of one class, joined; the text itself if there is one class only."""
+    """Neighbouring words of one class, joined; the text itself if there is one class only.
 
-    def step(done: Column, w: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        same = last["k"] == word_type(w)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(word_type(w).alias("k"), F.concat(last["t"], F.lit(" "), w).alias("t"))))
-        return F.when(F.coalesce(same, F.lit(False)), joined).otherwise(F.concat(done, F.array(F.struct(word_type(w).alias("k"), w.alias("t")))))
+    Each word's class is found once; runs begin where it changes, so a text takes time by its words, not their square.
+    """
+    nothing = F.array().cast(_STRINGS)
+
+    def cut(words: Column, kinds: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(words) - 1)
+        begins = F.filter(every, lambda i: (i == 0) | (F.get(kinds, i) != F.get(kinds, i - 1)))
+        return let(begins, lambda at: F.transform(at, lambda a, n: F.array_join(F.slice(words, a + 1, F.coalesce(F.get(at, n + 1), F.size(words)) - a), " ")))
+
+    def runs(words: Column) -> Column:
+        split = let(F.transform(words, word_type), lambda kinds: cut(words, kinds))
+        return F.when(F.size(words) > 1, split).otherwise(words)
 
-    runs = F.aggregate(split_words(c), F.array().cast("array<struct<k:string,t:string>>"), step)
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast(_STRINGS)).when(F.size(runs) > 1, runs["t"]).otherwise(F.array(c))
+    found = let(split_words(c), runs)
+    return F.when(F.coalesce(c, F.lit("")) == "", nothing).otherwise(let(found, lambda r: F.when(F.size(r) > 1, r).otherwise(F.array(c))))
 
 
 def segment_box(c: Column, delimiters: Sequence[str] | Column = fixed.DELIMITERS) -> Column:

@@ -2,75 +2,164 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.bits import hash_match
+from ..plans.stage import stored
 
-#: Templates up to this many rows are sent to all tasks; more of them meet by bands.
+#: Templates up to this many rows are sent to all tasks; more of them meet by an index of chunks of their hashes.
 BROADCAST_ROWS = 50_000
-BANDS = fixed.FULL_THRESHOLD  # a distance below 20 leaves one of 20 bands of bits alike
+CHUNKS, CHUNK_BITS = 4, 16
+#: Documents that one round of finding leaders goes through at first, and most rounds.
+FIRST_ROUND, MOST_ROUNDS = 16_384, 10
 
 
-def _band(h, i: int):
-    low, high = 64 * i // BANDS, 64 * (i + 1) // BANDS
-    return F.shiftrightunsigned(F.shiftleft(h, 64 - high), 64 - (high - low))
+def _masks(reach: int) -> list[int]:
+    """All patterns of up to ``reach`` differing bits of a chunk."""
+    return [sum(1 << i for i in c) for n in range(reach + 1) for c in combinations(range(CHUNK_BITS), n)]
 
 
-def match_templates(docs: DataFrame, templates: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id, label, template, score``: the nearest template of the label, ties to the one stored first.
+def _chunk(h: Column, i: int) -> Column:
+    return F.shiftrightunsigned(h, CHUNK_BITS * i).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1).cast("bigint"))
 
-    ``docs`` has ``doc_id, label, full, left, right``; ``templates`` has ``template, label, seq, full, left, right``.
-    A few templates (counted) go to every task. Many are found by bands: two hashes at a distance below 20
-    agree in one of 20 bands at least, so the join is on (label, band) and not on all pairs.
+
+def _far(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _places(side: Column, hashes: dict[str, Column], reach: int) -> Column:
+    """Keys ``(hash, chunk, value)`` of a row, with those of all values within ``reach`` bits of its own."""
+    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(reach)])
+
+    def around(k: str, h: Column, i: int) -> Column:
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("hash"), F.lit(i).alias("i"), _chunk(h, i).bitwiseXOR(m).alias("bits")))
+
+    keys = [around(k, h, i) for k, h in hashes.items() for i in range(CHUNKS)]
+    return F.when(side, F.concat(*keys)).otherwise(F.array().cast("array<struct<hash:string,i:int,bits:bigint>>"))
+
+
+def _by_chunks(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a label that can be near, each once, by an index instead of all pairs.
+
+    A match has a half at a distance below 15 or, where halves are lacking, a whole at one below 20. Of a hash's four
+    chunks one then differs in no more than a quarter of that. Templates stand under all values that near, documents under
+    their own. A pair counts at the first place where it can meet.
     """
-    known = templates.where(F.col("full").isNotNull()).select("template", F.col("label").alias("t_label"), "seq", F.struct("full", "left", "right").alias("t"))
-    asked = docs.where(F.col("full").isNotNull()).select("doc_id", "label", F.struct("full", "left", "right").alias("d"))
-    if known.count() <= broadcast_rows:
-        pairs = asked.join(F.broadcast(known), F.col("label") == F.col("t_label"))
+    reach_half, reach_full = (fixed.HALF_THRESHOLD - 1) // CHUNKS, (fixed.FULL_THRESHOLD - 1) // CHUNKS
+    halves = lambda x: F.col(f"{x}_left").isNotNull() & F.col(f"{x}_right").isNotNull()
+    by_half = lambda x, reach: _places(halves(x), {"left": F.col(f"{x}_left"), "right": F.col(f"{x}_right")}, reach)
+    by_full = lambda x, reach: _places(F.lit(True), {"full": F.col(f"{x}_full")}, reach)
+    near = lambda k, i, reach: F.bit_count(_chunk(F.col(f"d_{k}").bitwiseXOR(F.col(f"t_{k}")), i)) <= reach
+
+    def first(keys: list[tuple[str, int]], reach: int) -> Column:
+        out = F.lit(None).cast("int")
+        for n, (k, i) in reversed(list(enumerate(keys))):
+            out = F.when(near(k, i, reach), n).otherwise(out)
+        return out
+
+    both = halves("d") & halves("t")
+    whole_keys, half_keys = [("full", i) for i in range(CHUNKS)], [(k, i) for k in ("left", "right") for i in range(CHUNKS)]
+    at = F.col("at.i") + F.when(F.col("at.hash") == "right", CHUNKS).otherwise(0)
+    put = lambda df, keys: df.withColumn("at", F.explode(keys))
+    one = put(asked, by_half("d", 0)).join(put(known, by_half("t", reach_half)), ["label", "at"]).where(both & (at == first(half_keys, reach_half)))
+    lack = [x.where(~halves(n)) for x, n in ((asked, "d"), (known, "t"))]  # a pair without halves has one side without
+    two = put(lack[0], by_full("d", 0)).join(put(known, by_full("t", reach_full)), ["label", "at"])
+    two = two.unionByName(put(asked.where(halves("d")), by_full("d", 0)).join(put(lack[1], by_full("t", reach_full)), ["label", "at"])).where(at == first(whole_keys, reach_full))
+    return one.unionByName(two).drop("at")
+
+
+def near_pairs(docs: DataFrame, templates: DataFrame, broadcast_rows: int = BROADCAST_ROWS, before: bool = False) -> DataFrame:
+    """``doc_id, label, template, seq, score`` of all templates near a document; ``before``: with a lower ``seq`` than its own."""
+    known = templates.where(F.col("full").isNotNull()).select("template", "label", "seq", *[F.col(c).alias(f"t_{c}") for c in ("full", "left", "right")])
+    asked = docs.where(F.col("full").isNotNull()).select("doc_id", "label", *[F.col("seq").alias("d_seq")] * before, *[F.col(c).alias(f"d_{c}") for c in ("full", "left", "right")])
+    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        pairs = asked.join(F.broadcast(known), "label")
     else:
-        bands = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _band(F.col(c)["full"], i).alias("bits")) for i in range(BANDS)]))
-        pairs = asked.withColumn("band", bands("d")).join(known.withColumn("band", bands("t")).withColumnRenamed("t_label", "label"), ["label", "band"]).drop("band").distinct()
-    near = pairs.withColumn("m", hash_match(F.col("d"), F.col("t"))).where("m.match")
-    return near.groupBy("doc_id", "label").agg(F.min_by(F.struct("template", F.col("m.score").alias("score")), F.struct("m.score", "seq")).alias("b")).select("doc_id", "label", "b.*")
+        pairs = _by_chunks(asked, known)
+    whole, left, right = (_far(F.col(f"d_{c}"), F.col(f"t_{c}")) for c in ("full", "left", "right"))
+    halves = left.isNotNull() & right.isNotNull()
+    if before:
+        pairs = pairs.where("seq < d_seq")
+    # the cheap test first: it leaves a thousandth of the pairs for the others
+    close = pairs.where(whole < fixed.FULL_THRESHOLD).where(~halves | (F.least(left, right) < fixed.HALF_THRESHOLD))
+    return close.select("doc_id", "label", "template", "seq", (whole + F.when(halves, F.least(left, right)).otherwise(0)).cast("bigint").alias("score"))
 
 
-def leader_clusters(docs: DataFrame) -> DataFrame:
-    """``doc_id, label, leader, is_leader``: in order of ``seq``, a document joins the nearest leader of its
-    label before it or becomes one.
+def match_templates(docs: DataFrame, templates: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id, label, template, score``: the nearest template of the label, ties to the one stored first.
 
-    The order makes this a fold: one task holds a label's leaders, not its documents, which stream through it
-    sorted. Labels are independent; a label's run time is the bound, as it is for a queue per label.
+    ``docs`` has ``doc_id, label, full, left, right``; ``templates`` has ``template, label, seq, full, left, right``.
+    A few templates (counted) go to every task and are compared there one by one. Many are found by an index of
+    chunks of their hashes, an equality join on (label, chunk) that spares nine tenths of the pairs.
     """
+    best = F.min_by(F.struct("template", "score"), F.struct("score", "seq"))
+    return near_pairs(docs, templates, broadcast_rows).groupBy("doc_id", "label").agg(best.alias("b")).select("doc_id", "label", "b.*")
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by label and order to ``doc_id, label, leader, is_leader``; a row is compared with all leaders of its label at once."""
+    label, ids, kept, n = object(), np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), 0
+    for batch in batches:
+        hashes = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in (2, 3, 4)], 1)
+        docs, labels = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        leader, leads = np.zeros(len(docs), np.int64), np.zeros(len(docs), bool)
+        for r, h in enumerate(hashes):
+            if labels[r] != label:
+                label, n = labels[r], 0
+            far = np.bitwise_count(kept[:n, 0] ^ h[0])
+            near = np.flatnonzero(far < fixed.FULL_THRESHOLD)
+            half = np.bitwise_count(kept[near, 1:] ^ h[1:]).min(1) if len(near) else near
+            fine = half < fixed.HALF_THRESHOLD
+            if fine.any():
+                near, half = near[fine], half[fine]
+                leader[r] = ids[near[np.argmin(far[near].astype(int) + half)]]
+                continue
+            if n == len(ids):
+                ids, kept = np.resize(ids, max(64, 2 * n)), np.resize(kept, (max(64, 2 * n), 3))
+            ids[n], kept[n], n = docs[r], h, n + 1
+            leader[r], leads[r] = docs[r], True
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leader), pa.array(leads)], ["doc_id", "label", "leader", "is_leader"])
+
+
+def leader_clusters(docs: DataFrame, known: DataFrame | None = None, first_round: int = FIRST_ROUND, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``doc_id, label, leader, is_leader``: in order of ``seq``, a document joins the nearest leader of its
+    label before it or becomes one. ``known`` leaders (``template`` in place of ``doc_id``) stand before all.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, leaders = object(), []
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if r.label != label:
-                    label, leaders = r.label, []
-                best = None
-                for who, full, left, right in leaders:
-                    whole = ((int(r.full) ^ full) & _ALL).bit_count()
-                    if whole < fixed.FULL_THRESHOLD:
-                        half = min(((int(r.left) ^ left) & _ALL).bit_count(), ((int(r.right) ^ right) & _ALL).bit_count())
-                        if half < fixed.HALF_THRESHOLD and (best is None or whole + half < best[0]):
-                            best = (whole + half, who)
-                if best is None:
-                    leaders.append((r.doc_id, int(r.full), int(r.left), int(r.right)))
-                out.append((r.doc_id, r.label, r.doc_id if best is None else best[1], best is None))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "leader", "is_leader"])
-
-    hashed = docs.where(F.col("full").isNotNull() & F.col("left").isNotNull() & F.col("right").isNotNull()).select("doc_id", "label", "seq", "full", "left", "right")
-    return hashed.repartition("label").sortWithinPartitions("label", "seq").mapInPandas(run, "doc_id long, label string, leader long, is_leader boolean")
-
-
-_ALL = (1 << 64) - 1
+    Whether a document leads depends on those before it, which is a fold; but the fold has to see only documents
+    that no earlier leader is near to. So it goes in rounds, each as long as all before it: the documents of a round
+    are matched with the leaders found so far, in parallel, and what stays open is folded by label, in order. Few rows
+    are open once layouts have been seen, also where one label holds all documents. A last join finds the nearest leaders.
+    """
+    cols = ["doc_id", "label", "seq", "full", "left", "right"]
+    hashed = docs.where(F.col("full").isNotNull() & F.col("left").isNotNull() & F.col("right").isNotNull()).select(*cols)
+    n = hashed.count()
+    rounds = min(MOST_ROUNDS, max(0, math.ceil(math.log2(n / first_round)))) if n > first_round else 0
+    shape = "doc_id long, label string, leader long, is_leader boolean"
+    fold = lambda some: some.repartition("label").sortWithinPartitions("label", "seq").select("doc_id", "label", "full", "left", "right").mapInArrow(_fold, shape)
+    if not rounds and known is None:
+        return fold(hashed)
+    hashed = stored(hashed)
+    leaders = stored(known.select(F.col("template").cast("long").alias("template"), *cols[1:])) if known is not None else None
+    shares = [2.0**-k for k in range(rounds, 0, -1)]
+    cuts = hashed.approxQuantile("seq", shares, 2.0 ** -(rounds + 3)) if shares else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = hashed.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
+        open_ = part if leaders is None else part.join(near_pairs(part, leaders, broadcast_rows).select("doc_id").distinct(), "doc_id", "left_anti")
+        found = fold(open_).where("is_leader").select("doc_id")
+        more = part.join(found, "doc_id").select(F.col("doc_id").alias("template"), *cols[1:])
+        leaders = stored(more if leaders is None else leaders.unionByName(more))
+    own = leaders.select(F.col("template").alias("doc_id"), "label", F.col("template").alias("leader"), F.lit(True).alias("is_leader")).join(hashed.select("doc_id"), "doc_id", "left_semi")
+    others = hashed.join(own.select("doc_id"), "doc_id", "left_anti")
+    best = F.min_by("template", F.struct("score", "seq"))
+    led = near_pairs(others, leaders, broadcast_rows, before=True).groupBy("doc_id", "label").agg(best.alias("leader"))
+    return own.unionByName(led.withColumn("is_leader", F.lit(False)))
 
 
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import bits, fields, fixed, formats, geometry, scores, text
 from .operators import blocks, cache, evaluate, knowledge, matching, templates
 from .plans import extraction, providers
+from .plans.stage import stored
 from .sources import readers
 from .streaming.queue import windowed_counts
 
@@ -236,9 +237,12 @@ def hashed(spark: SparkSession, sf: str) -> DataFrame:
     half = F.floor(F.col("n") / 2).cast("int")
     cuts = {"full": F.col("text"), "left": F.substring("text", F.lit(1), half), "right": F.substring("text", half + 1, F.col("n"))}
     out = d.select("doc_id", F.col("lang").alias("label"), F.col("doc_id").alias("seq"), *[c.alias(k) for k, c in cuts.items()])
-    pixel = lambda c: F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.ascii(F.substring(c, F.floor(F.length(c) * i / 72).cast("int") + 1, F.lit(1))))
+    # four bytes a character, so that a sample is found by its place and not by counting up to it
+    out = out.select("doc_id", "label", "seq", *[F.encode(F.col(k), "UTF-32").alias(k) for k in cuts])
+    at = lambda c, i: F.floor(F.octet_length(c) / 4 * i / 72).cast("int") * 4 + 1
+    pixel = lambda c: F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.conv(F.hex(F.substring(c, at(c, i), F.lit(4))), 16, 10).cast("int"))
     out = out.select("doc_id", "label", "seq", *[pixel(F.col(k)).alias(k) for k in cuts])
-    return out.select("doc_id", "label", "seq", *[bits.raster_hash(F.col(k)).alias(k) for k in cuts])
+    return stored(out.select("doc_id", "label", "seq", *[bits.raster_hash(F.col(k)).alias(k) for k in cuts]))
 
 
 def long(c) -> F.Column:

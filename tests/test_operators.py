@@ -59,12 +59,34 @@ def test_leader_clusters_against_a_loop(spark):
             leaders[r.label].append(r)
             want[r.doc_id] = (r.doc_id, True)
     assert got == want
+    # one label for all, in rounds, by broadcast and by the index; and with leaders known before
+    one = h.withColumn("label", F.lit("x"))
+    want = rows(templates.leader_clusters(one), "doc_id", "leader", "is_leader")
+    for most, first in ((50_000, 20), (0, 150)):
+        assert rows(templates.leader_clusters(one, first_round=first, broadcast_rows=most), "doc_id", "leader", "is_leader") == want
+    half = one.orderBy("seq").limit(100)
+    before = {r.doc_id for r in half.collect()}
+    known = half.join(templates.leader_clusters(half).where("is_leader").select("doc_id"), "doc_id").withColumnRenamed("doc_id", "template")
+    rest = one.join(half.select("doc_id"), "doc_id", "left_anti")
+    assert rows(templates.leader_clusters(rest, known), "doc_id", "leader", "is_leader") == [w for w in want if w[0] not in before]
 
 
-def test_match_templates_by_bands_as_by_broadcast(spark):
+def test_match_templates_by_index_as_by_broadcast(spark):
+    import random
+
     h = queries.hashed(spark, SF)
     t = h.withColumn("template", F.col("doc_id"))
     assert rows(templates.match_templates(h, t)) == rows(templates.match_templates(h, t, broadcast_rows=0))
+    r, made = random.Random(3), []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [[r.getrandbits(64) for _ in range(3)] for _ in range(10)]
+    for i in range(150):  # near each other at all distances around the limits, some without halves
+        hashes = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 22))) for b in r.choice(base)]
+        made.append((i, "ab"[i % 2], i, *[None if j and i % 7 == 0 else signed(x) for j, x in enumerate(hashes)]))
+    d = spark.createDataFrame(made, "doc_id long, label string, seq long, full long, left long, right long")
+    t = d.withColumn("template", F.col("doc_id") + 1000)
+    pairs = rows(templates.near_pairs(d, t))
+    assert len(pairs) > 300 and pairs == rows(templates.near_pairs(d, t, broadcast_rows=0))
 
 
 def test_first_match_rules(spark):
