@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset
-(tests, a laptop) a local temporary folder takes its place.
+``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset and all runs on one
+machine (tests, a laptop) a local temporary folder takes its place.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, without a slash at its end."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
