@@ -156,7 +156,7 @@ def _sorted(groups: DataFrame, length: int, gram: int, task_bytes: int) -> DataF
     total = groups.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     tasks = max(1, -(-total // task_bytes))
     dealt = groups.select(F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int").alias("_task"), "h", "digest", "copies", "bytes")
-    return dealt.groupBy("_task").applyInArrow(_sort_suffixes(length, gram), f"h long, digest binary, ranges {_RANGES}")
+    return dealt.repartition(tasks, "_task").groupBy("_task").applyInArrow(_sort_suffixes(length, gram), f"h long, digest binary, ranges {_RANGES}")
 
 
 def _thinned(large: DataFrame, length: int, gram: int, task_bytes: int) -> DataFrame:
@@ -210,7 +210,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", *, le
     ranges = materialize(entire.unionByName(sorted_).unionByName(thinned), "ranges")
     spans = held.select("_id", "_digest", "h", "digest", "at").join(ranges, ["h", "digest"]).select("_id", "_digest", F.transform("ranges", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"] - 1 + length).alias("b"))).alias("s"))
     spans = spans.groupBy("_id", "_digest").agg(F.flatten(F.collect_list("s")).alias("spans"))
-    many = first.where(F.size("runs") > 0).join(texts.where("copies > 1").select("_digest"), "_digest").select("_id", "_digest").distinct()
+    many = first.where(F.size("runs") > 0).select("_id", "_digest").distinct().join(texts.where("copies > 1").select("_digest"), "_digest").select("_id", "_digest")
     return many.withColumn("whole", F.lit(True)).join(spans, ["_id", "_digest"], "full").select("_id", "_digest", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"))
 
 
