@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def probe(requests: DataFrame, entries: DataFrame, code_version: str | None = None) -> DataFrame:
-    """``requests`` (``key, mtime, fields``) with ``hit`` and ``reason``, by ``entries`` (``key, mtime, fields, code_version``)."""
-    e = entries.select("key", F.struct(*[c for c in entries.columns if c != "key"]).alias("e"))
-    joined = requests.join(e, "key", "left")
+    """``requests`` (``key, mtime, fields``) with ``hit`` and ``reason``, by ``entries`` (``key, mtime, fields, code_version``).
+
+    Of several entries of a key, as rewriting leaves them, the one written last counts.
+    """
+    joined = requests.join(latest(entries), "key", "left")
     stale = F.col("mtime").isNull() | (F.col("mtime") > F.col("e.mtime"))
     other = F.lit(False) if code_version is None else F.coalesce(F.col("e.code_version") != code_version, F.lit(True))
     lacking = F.size(F.array_except("fields", "e.fields")) > 0
@@ -17,6 +19,11 @@ def probe(requests: DataFrame, entries: DataFrame, code_version: str | None = No
     return joined.select(*requests.columns, reason.isNull().alias("hit"), reason.alias("reason"))
 
 
+def latest(entries: DataFrame) -> DataFrame:
+    """``key, e``: the last entry of each key."""
+    return entries.groupBy("key").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "key"]), "mtime").alias("e"))
+
+
 def hits(requests: DataFrame, entries: DataFrame, code_version: str | None = None) -> DataFrame:
     return probe(requests, entries, code_version).where("hit").select(*requests.columns)
 

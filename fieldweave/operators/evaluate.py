@@ -12,10 +12,11 @@ from ..functions.text import fold
 def compare_fields(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """``file, field, predicted, gold, matched`` over the union of fields, for files on both sides.
 
-    A field that one side lacks is null there; null equals empty; values compare folded.
+    A field that one side lacks is null there; null equals empty; values compare folded. A file without
+    fields is a row with a null field: it counts as a file, not as a field.
     """
     files = predicted.select("file").intersect(gold.select("file"))
-    p, g = (x.join(files, "file", "left_semi").select("file", "field", F.col("value").alias(n)) for x, n in ((predicted, "predicted"), (gold, "gold")))
+    p, g = (x.where(F.col("field").isNotNull()).join(files, "file", "left_semi").select("file", "field", F.col("value").alias(n)) for x, n in ((predicted, "predicted"), (gold, "gold")))
     return p.join(g, ["file", "field"], "full").select("file", "field", "predicted", "gold", (fold(F.col("predicted")) == fold(F.col("gold"))).alias("matched"))
 
 

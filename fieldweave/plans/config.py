@@ -7,9 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """``benchmark`` records times, ``incremental`` writes results per document, ``cache`` uses stored ones."""
+    """``benchmark`` records times, ``incremental`` writes the combined results, ``cache`` reads and writes stored results.
+
+    ``batches`` cuts the entries, in order, into parts that run one after the other: each sees what those before it
+    learned from the provider's answers.
+    """
 
     benchmark: bool = False
     incremental: bool = True
     cache: bool = True
-    shuffle_partitions: int | None = None
+    batches: int = 1

@@ -65,3 +65,29 @@ def structure_of(answer: Column) -> Column:
 def classify_labels(entries: DataFrame, answers: DataFrame) -> DataFrame:
     """``label, structure``: each label once, by a table ``label, answer``."""
     return entries.select("label").distinct().join(answers, "label", "left").select("label", structure_of(F.coalesce("answer", F.lit(""))).alias("structure"))
+
+
+def ask_structures(labels: DataFrame, connect: Callable[[], Callable[[str], str]], tries: int = 3) -> DataFrame:
+    """``label, structure, error``: a service asked once for each label, with up to ``tries`` attempts.
+
+    ``connect`` runs once in each Python worker and gives a function from a label to an answer. A label for which all
+    attempts fail has no structure, and the last failure's text as its error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = connect()
+        for rows in batches:
+            out = []
+            for label in rows["label"]:
+                answer, error = None, None
+                for _ in range(tries):
+                    try:
+                        answer, error = str(ask(label)), None
+                        break
+                    except Exception as e:  # any failure of the service counts as a failed attempt
+                        error = f"{type(e).__name__}: {e}"
+                out.append((label, answer, error))
+            yield pd.DataFrame(out, columns=["label", "answer", "error"])
+
+    got = labels.select("label").distinct().mapInPandas(run, "label string, answer string, error string")
+    return got.select("label", F.when(F.col("error").isNull(), structure_of(F.col("answer"))).alias("structure"), "error")

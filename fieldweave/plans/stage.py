@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one where none is named."""
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder takes its place, on one machine only: executors of a cluster don't share it.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes a checkpoint once nothing refers to it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fieldweave-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldweave-"))
     return df.checkpoint()

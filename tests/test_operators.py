@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from fieldweave import queries
 from fieldweave.operators import blocks, cache, evaluate, knowledge, matching, templates
 from fieldweave.plans import extraction, providers
+from fieldweave.plans.config import Config
+from fieldweave.plans.memory import BOX, SCHEMAS, Memory, add_positions
+from fieldweave.plans.run import Documents, run
 from fieldweave.sources import readers, writers
 from fieldweave.streaming.queue import label_queues
 
@@ -143,13 +146,31 @@ def test_dataset_and_results_round_trip(spark, tmp_path):
     out = spark.createDataFrame([("files/x.pdf", "z", 0, "1"), ("files/x.pdf", "a", 1, None)], "doc_id string, field string, fpos int, value string")
     maps = writers.result_maps(out)
     assert maps.select(writers.as_json("extracted_data")).first()[0] == '{"z":"1","a":null}'
-    writers.write_documents(maps, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first().stem == "x"
+    written = writers.write_documents(maps, f"file://{tmp_path}/out", code_version="7")
+    assert written.first().file.endswith("/out/x.json")
+    assert (tmp_path / "out/x.json").read_text() == '{\n  "z": "1",\n  "a": null\n}'
+    assert rows(readers.read_result_cache(spark, str(tmp_path / "out")), "key", "code_version") == [("x", "7")]
+    two = maps.unionByName(maps.withColumn("doc_id", F.lit("more/x.pdf")))
+    assert len({r.stem for r in writers.output_names(two).collect()}) == 2
+    writers.write_combined(maps, str(tmp_path / "all"))
+    assert spark.read.json(str(tmp_path / "all")).count() == 1
+    for version in ("7", "8"):  # the entry written last counts, and is found once
+        writers.write_cache(maps, str(tmp_path / "cache"), version)
+    wanted = spark.sql("SELECT 'files/x.pdf' AS key, timestamp'2020-01-01' AS mtime, array('z') AS fields")
+    stored = readers.read_cache(spark, str(tmp_path / "cache"))
+    assert rows(cache.probe(wanted, stored, "8"), "hit") == [(True,)] and rows(cache.probe(wanted, stored, "7"), "reason") == [("version",)]
+    assert cache.latest(stored).select(cache.project(F.col("e.extracted_data"), F.array(F.lit("z"), F.lit("q")))).first()[0] == {"z": "1", "q": None}
+    assert readers.read_cache(spark, str(tmp_path / "nowhere")).count() == 0
     (tmp_path / "r").mkdir()
     (tmp_path / "r/x.json").write_text('{"z": "1", "a": null}')
     (tmp_path / "r/x.meta.json").write_text('{"code_version": "7"}')
     assert rows(readers.read_results(spark, str(tmp_path / "r"))) == [("x", "a", None), ("x", "z", "1")]
-    assert rows(readers.read_cache(spark, str(tmp_path / "r")), "key", "code_version") == [("x", "7")]
+    (tmp_path / "r/empty.json").write_text("{}")
+    (tmp_path / "r/bad.json").write_text("{")
+    found = readers.read_results(spark, str(tmp_path / "r"))
+    assert sorted(r.file for r in found.where("field is null").collect()) == ["bad", "empty"]
+    assert rows(evaluate.missing_files(found, found)) == [] and evaluate.compare_fields(found, found).count() == 2
+    assert rows(readers.read_result_cache(spark, str(tmp_path / "r")).where("key = 'x'"), "key", "code_version") == [("x", "7")]
     assert readers.read_or_empty(spark, str(tmp_path / "none"), readers.TEMPLATES).count() == 0
 
 
@@ -160,6 +181,9 @@ def test_binary_scan_and_raster_hash(spark, tmp_path):
     assert readers.read_binary(spark, str(tmp_path)).first().sha256.startswith("ba7816bf")
     ramp = np.tile(np.arange(90), (80, 1))
     assert readers.difference_hash(ramp) == -1 and readers.difference_hash(ramp[:, ::-1]) == 0
+    page = np.random.default_rng(0).integers(0, 256, (1100, 850)).astype(np.uint8)
+    assert readers.resample(page, 800, 1131).shape == (1131, 800) and (readers.resample(np.full((50, 40), 7), 9, 8, "lanczos") == 7).all()
+    assert len(set(readers.raster_hashes(page))) == 3
     assert readers.masked(np.zeros((1135, 804), np.uint8))[200, 100] == 255
 
 
@@ -208,6 +232,122 @@ def test_alternatives(spark):
     assert rows(extraction.by_alternatives(req, bl, tf, pats, know)) == [("d1", "data", "12/03/2020")]
 
 
+def test_merge_knowledge_as_if_at_once(spark):
+    v = spark.createDataFrame([(i, "t", "fg"[i % 2], x, m) for i, (x, m) in enumerate([("abc", "exact"), ("PR", "partial"), ("12", None), ("13", "partial"), ("xyz", "partial"), (None, "exact"), ("7", "exact")])], "seq long, template_id string, field string, value string, mode string")
+    whole = knowledge.learn_fields(v)
+    for at in (0, 1, 3, 7):
+        merged = knowledge.merge_knowledge(knowledge.learn_fields(v.where(F.col("seq") < at)), knowledge.learn_fields(v.where(F.col("seq") >= at)))
+        told = lambda df: sorted((r.template_id, r.field, round(r.avg_length, 9), r.n, r.type, list(r.type_history.items()), r.extraction_mode, list((r.mode_history or {}).items())) for r in df.collect())
+        assert told(merged) == told(whole)
+
+
+def test_memory_round_trip_and_lookups(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    assert Memory.load(spark, path).templates.count() == 0
+    e, bl, h, kinds, provider = _cascade_inputs(spark)
+    memory = extraction.process_with(e, bl, h, kinds, provider, Memory.empty(spark)).memory
+    assert memory.save(path) == 1 and memory.save(path) == 2
+    back = Memory.load(spark, path)
+    for name in SCHEMAS:
+        assert rows(getattr(back, name).select(F.to_json(F.struct("*")))) == rows(getattr(memory, name).select(F.to_json(F.struct("*"))))
+    name = back.templates.first().template
+    assert rows(back.part(name, "mode")) == [("data", "exact"), ("nome", "exact"), ("numero", "partial"), ("uf", "partial")]
+    assert back.for_extraction("oab", ["uf", "data", "nome", "numero"]).count() == 4 and back.for_extraction("oab", ["uf"]).count() == 0
+    assert back.split_rules().first().sequence == ["number", "uf"]
+    assert back.cleared().templates.count() == 0 and back.template(name).count() == 1
+    box = lambda x, y: (x, y, 1.0, 1.0, 0)
+    a = spark.createDataFrame([([box(1.0, 1.0)], [box(1.0, 1.0), box(2.0, 1.0), box(2.0, 1.0)]), (None, [box(3.0, 3.0)])], f"a array<{BOX}>, b array<{BOX}>")
+    assert [len(r[0]) for r in a.select(add_positions(F.col("a"), F.col("b"))).collect()] == [2, 1]
+
+
+class _Counting:
+    """A provider that remembers what it was asked."""
+
+    def __init__(self, provider):
+        self.provider, self.asked = provider, []
+
+    def extract(self, wanted, texts):
+        self.asked += [tuple(r) for r in wanted.select("doc_id", "field").collect()]
+        return self.provider.extract(wanted, texts)
+
+
+def test_two_runs(spark, tmp_path):
+    """The second run takes stored results and layouts, and asks for less."""
+    lay = lambda d, name, date, y=70.0: [(d, 0, 0, "Nome:", 10.0, 10.0, 60.0, 20.0), (d, 0, 1, name, 70.0, 10.0, 200.0, 20.0), (d, 0, 2, date, 70.0, y, 160.0, y + 10), (d, 0, 3, "PR", 400.0, 400.0, 420.0, 410.0)]
+    made = [lay("f/a.pdf", "MARIA SILVA", "12/03/2020"), lay("f/b.pdf", "JOANA SOUZA", "13/04/2021"), lay("f/c.pdf", "PEDRO LIMA", "31-12"), lay("f/d.pdf", "RUI COSTA", "15/06/2023")]
+    made[2].append(("f/c.pdf", 0, 4, "14/05/2022", 300.0, 300.0, 360.0, 310.0))
+    bl = spark.createDataFrame(sum(made, []), "doc_id string, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    h = spark.createDataFrame([(f"f/{c}.pdf", i, i, i) for i, c in enumerate("abcd")], "doc_id string, full long, left long, right long")
+    files = bl.select("doc_id", F.timestamp_seconds(F.lit(1_000_000)).alias("mtime")).distinct()
+    errors = spark.createDataFrame([("f/e.pdf", "broken")], "doc_id string, error string")
+    docs = Documents(bl, h, files.unionByName(spark.sql("SELECT 'f/e.pdf' AS doc_id, timestamp_seconds(1000000) AS mtime")), errors)
+    schema = '{"nome": "o nome", "data": "a data"}'
+    import json
+
+    def entries(names):
+        (tmp_path / "d.json").write_text(json.dumps([{"label": "oab", "extraction_schema": json.loads(schema), "pdf_path": f"f/{c}.pdf"} for c in names]))
+        return readers.read_dataset(spark, str(tmp_path / "d.json"))
+
+    def provider(names):
+        gold = {"a": ("MARIA SILVA", "12/03/2020"), "b": ("JOANA SOUZA", "13/04/2021"), "c": ("PEDRO LIMA", "14/05/2022"), "d": ("RUI COSTA", "15/06/2023")}
+        table = [(f"f/{c}.pdf#{i}", f, v) for i, c in enumerate(names) if c in gold for f, v in zip(("nome", "data"), gold[c], strict=True)]
+        return _Counting(providers.TableProvider(spark.createDataFrame(table, "doc_id string, field string, value string")))
+
+    labels = lambda df: df.select("label", F.lit("stricted").alias("structure"), F.lit(None).cast("string").alias("error"))
+    results, memory = f"file://{tmp_path}/results", str(tmp_path / "memory")
+    first = provider("abec")
+    one = run(spark, entries("abec"), docs, first, labels, results=results, memory=memory, config=Config(benchmark=True))
+    got = {r.pdf_path: r for r in one.results.collect()}
+    assert (got["f/a.pdf"].extraction_method, got["f/b.pdf"].extraction_method) == ("llm_learning", "positional")
+    assert got["f/b.pdf"].extracted_data == {"nome": "JOANA SOUZA", "data": "13/04/2021"} and got["f/c.pdf"].extracted_data["data"] == "14/05/2022"
+    assert got["f/e.pdf"].error == "broken" and got["f/e.pdf"].extracted_data == {"nome": None, "data": None}
+    assert json.loads((tmp_path / "results/documents/b.json").read_text()) == {"nome": "JOANA SOUZA", "data": "13/04/2021"}
+    stats = one.stats()
+    assert (stats["count"], stats["total_fields"], stats["llm_fields_used"]) == (4, 8, 3) and stats["first_s"] > 0
+    assert [a for a in first.asked if a[0] != "f/a.pdf#0"] == [("f/c.pdf#3", "data")]  # what stands there is no date
+    assert [(r.field, r.alternatives[0].y0) for r in one.memory.fields.where("size(alternatives) > 0").collect()] == [("data", 300.0)]
+    second = provider("abecd")
+    two = run(spark, entries("abecd"), docs, second, labels, results=results, memory=memory)
+    got = {r.pdf_path: r for r in two.results.collect()}
+    assert [got[f"f/{c}.pdf"].extraction_method for c in "abcd"] == ["cached", "cached", "cached", "positional"]
+    assert got["f/d.pdf"].extracted_data == {"nome": "RUI COSTA", "data": "15/06/2023"}
+    assert second.asked == []
+
+
+def test_classifier_attempts(spark):
+    def connect():
+        calls = {}
+
+        def ask(label):
+            calls[label] = calls.get(label, 0) + 1
+            if label == "never" or calls[label] < 3:
+                raise RuntimeError("busy")
+            return " Rígida. "
+
+        return ask
+
+    labels = spark.createDataFrame([("oab",), ("oab",), ("never",)], "label string")
+    assert sorted(map(tuple, providers.ask_structures(labels, connect).collect())) == [("never", None, "RuntimeError: busy"), ("oab", "stricted", None)]
+    assert sorted(map(tuple, providers.ask_structures(labels.limit(1), connect, tries=2).collect())) == [("oab", None, "RuntimeError: busy")]
+
+
+def test_command(spark, tmp_path, capsys, monkeypatch):
+    from fieldweave import cli
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    (tmp_path / "d.json").write_text('[{"label": "oab", "extraction_schema": {"nome": "x"}, "pdf_path": "f/a.pdf"}]')
+    spark.createDataFrame([("f/a.pdf", 0, 0, "MARIA", 1.0, 1.0, 2.0, 2.0)], "doc_id string, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double").write.parquet(str(tmp_path / "blocks"))
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold/a.json").write_text('{"nome": "MARIA"}')
+    out = f"file://{tmp_path}/results"
+    assert cli.main(["run", str(tmp_path / "d.json"), "--blocks", str(tmp_path / "blocks"), "--results", out, "--memory", str(tmp_path / "m"), "--answers", str(tmp_path / "gold"), "--flexible", "oab", "--benchmark"]) == 0
+    assert "Fields via LLM: 1 / 1" in capsys.readouterr().out
+    assert cli.main(["evaluate", f"{out}/documents", str(tmp_path / "gold")]) == 0
+    assert "accuracy 100.00 %" in capsys.readouterr().out
+    assert cli.main(["dataset", str(tmp_path / "d.json")]) == 0 and capsys.readouterr().out == "oab: 1\n"
+    assert cli.main(["run", str(tmp_path / "none.json"), "--answers", "x"]) == 1
+
+
 def test_label_queue_stream(spark, tmp_path):
     h = queries.hashed(spark, SF).select("doc_id", "label", "full", "left", "right")
     h.coalesce(1).write.parquet(str(tmp_path / "in"))
