@@ -52,6 +52,12 @@ def best_blocks(refs: DataFrame, blocks: DataFrame, by: tuple[str, ...] = ("doc_
     return ranked.where(fine).groupBy(*by).agg(F.min_by(F.struct(*cols), "rank").alias("b")).select(*by, "b.*")
 
 
+def top_blocks(refs: DataFrame, blocks: DataFrame, most: int = 3, by: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
+    """The ``most`` best blocks of each field with their scores and ``rank``: what a decision was taken from."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("scores.score"), "block_idx"))
+    return score_blocks(refs, blocks).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def first_match(values: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where each value stands: ``doc_id, field, value, block_idx, mode`` and the block's box.
 

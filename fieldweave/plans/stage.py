@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -13,10 +17,33 @@ def stored(df: DataFrame) -> DataFrame:
     Where none is named, a temporary folder takes its place, on one machine only: executors of a cluster don't share it.
     With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes a checkpoint once nothing refers to it.
     """
-    context = df.sparkSession.sparkContext
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldweave-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes with the driver."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended: its folder goes with it
+            return

@@ -274,11 +274,11 @@ def q_html_blocks(spark, sf):
     return blocks.from_html(T(spark, sf, "pages")).select("doc_id", "block_idx", "text")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, trim(l_returnflag) AS t, l_quantity, l_discount, l_partkey FROM lineitem)
-SELECT l_orderkey AS doc_id, string_agg(t, ' ' ORDER BY l_linenumber, l_partkey, t) AS text, min(l_quantity) AS x0, max(l_quantity) AS x1 FROM s WHERE t <> '' GROUP BY l_orderkey""")
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, trim(l_returnflag) AS t, l_quantity, l_discount, l_tax, l_partkey FROM lineitem)
+SELECT l_orderkey AS doc_id, string_agg(t, ' ' ORDER BY l_linenumber, l_partkey, t) AS text, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_tax) AS y1 FROM s WHERE t <> '' GROUP BY l_orderkey""")
 def q_blocks_from_spans(spark, sf):
     s = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("block_idx"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("span"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), F.col("l_quantity").alias("x1"), F.col("l_tax").alias("y1"))
-    return blocks.from_spans(s).select("doc_id", "text", "x0", "x1")
+    return blocks.from_spans(s).select("doc_id", "text", "x0", "x1", "y0", "y1")
 
 
 @query("SELECT count(*) AS n FROM orders WHERE coalesce(nullif(o_orderpriority, '1-URGENT'), '') <> '' AND coalesce(o_orderstatus, '') <> ''")
@@ -621,20 +621,20 @@ def q_first_most(spark, sf):
     return knowledge.first_most(o, ["o_custkey"], "priority", "o_orderkey").select("o_custkey", "priority", "n")
 
 
-@query(f"""WITH {SEGMENTS_SQL}, u AS (SELECT id, unnest(segs) AS s, generate_subscripts(segs, 1) AS i FROM seg WHERE id < 20000000), p AS (SELECT id, string_agg({s_segment_type("s")}, ',' ORDER BY i) AS sequence FROM u GROUP BY id)
+@query(f"""WITH {SEGMENTS_SQL}, u AS (SELECT id, unnest(segs) AS s, generate_subscripts(segs, 1) AS i FROM seg), p AS (SELECT id, string_agg({s_segment_type("s")}, ',' ORDER BY i) AS sequence FROM u GROUP BY id)
 SELECT id >= 10000000 AS led, sequence, count(*) AS frequency, min(id) AS first FROM p GROUP BY 1, 2""")
 def q_pattern_frequency(spark, sf):
-    b = boxes(spark, sf).where("id < 20000000").select((F.col("id") >= 10_000_000).alias("led"), F.col("id").alias("seq"), F.array_join(text.learn_pattern(text.segment_box(F.col("box"))), ",").alias("sequence"))
+    b = boxes(spark, sf).select((F.col("id") >= 10_000_000).alias("led"), F.col("id").alias("seq"), F.array_join(text.learn_pattern(text.segment_box(F.col("box"))), ",").alias("sequence"))
     return knowledge.learn_patterns(b, by=("led",))
 
 
 @query(f"""WITH {BOXES_SQL}, d AS (SELECT id, unnest([{", ".join(map(_q, fixed.DELIMITERS))}]) AS d FROM boxes), j AS (SELECT b.id % 3 AS grp, b.id, d.d FROM boxes b JOIN d ON b.id = d.id WHERE regexp_matches(b.box, d.d)),
 c AS (SELECT grp, d, count(*) AS frequency, min(id) AS first FROM j GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY frequency DESC, first, d) AS INTEGER) AS rank FROM c)
-SELECT grp, frequency, rank FROM r WHERE rank <= 5""")
+SELECT grp, d AS delimiter, frequency, rank FROM r WHERE rank <= 5""")
 def q_delimiters_top5(spark, sf):
     occurs = F.array_compact(F.array(*[F.when(F.col("box").rlike(d), F.lit(d)) for d in fixed.DELIMITERS]))
     b = boxes(spark, sf).select((F.col("id") % 3).alias("grp"), F.col("id").alias("seq"), F.explode(occurs).alias("delimiter"))
-    return knowledge.learn_delimiters(b, by=("grp",)).select("grp", "frequency", "rank")
+    return knowledge.learn_delimiters(b, by=("grp",)).select("grp", "delimiter", "frequency", "rank")
 
 
 @query("""SELECT event_type, count(value) AS count, round(sum(value), 4) AS total, min(value) AS min, max(value) AS max, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std,
@@ -652,24 +652,24 @@ def q_windowed_counts(spark, sf):
 
 # --- cache and evaluation ---------------------------------------------------------------------------------------
 
-_CACHE_SQL = """r AS (SELECT o_orderkey AS key, o_orderdate AS mtime, [o_orderstatus, 'N'] AS fields FROM orders), l AS (SELECT l_orderkey AS key, max(l_shipdate) - INTERVAL 60 DAY AS mtime, list(DISTINCT l_linestatus) || list(DISTINCT l_returnflag) AS fields FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
-e AS (SELECT r.key, CASE WHEN l.key IS NULL THEN 'absent' WHEN r.mtime > l.mtime THEN 'stale' WHEN len(list_filter(r.fields, lambda f: NOT list_contains(l.fields, f))) > 0 THEN 'fields' END AS reason FROM r LEFT JOIN l ON r.key = l.key)"""
+_CACHE_SQL = """r AS (SELECT o_orderkey AS key, o_orderdate AS mtime, [o_orderstatus, 'N'] AS fields FROM orders), l AS (SELECT l_orderkey AS key, max(l_shipdate) - INTERVAL 60 DAY AS mtime, list(DISTINCT l_linestatus) || list(DISTINCT l_returnflag) AS fields, max(l_returnflag) AS version FROM lineitem GROUP BY 1),
+e AS (SELECT r.key, CASE WHEN l.key IS NULL THEN 'absent' WHEN r.mtime > l.mtime THEN 'stale' WHEN l.version <> 'R' THEN 'version' WHEN len(list_filter(r.fields, lambda f: NOT list_contains(l.fields, f))) > 0 THEN 'fields' END AS reason FROM r LEFT JOIN l ON r.key = l.key)"""
 
 
 def _cache(spark, sf):
     r = T(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("mtime"), F.array("o_orderstatus", F.lit("N")).alias("fields"))
-    e = T(spark, sf, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("key")).agg((F.max("l_shipdate") - F.expr("interval 60 days")).alias("mtime"), F.concat(F.collect_set("l_linestatus"), F.collect_set("l_returnflag")).alias("fields"))
+    e = T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg((F.max("l_shipdate") - F.expr("interval 60 days")).alias("mtime"), F.concat(F.collect_set("l_linestatus"), F.collect_set("l_returnflag")).alias("fields"), F.max("l_returnflag").alias("code_version"))
     return r, e
 
 
 @query(f"WITH {_CACHE_SQL} SELECT key, reason IS NULL AS hit, reason FROM e")
 def q_cache_probe(spark, sf):
-    return cache.probe(*_cache(spark, sf)).select("key", "hit", "reason")
+    return cache.probe(*_cache(spark, sf), "R").select("key", "hit", "reason")
 
 
 @query(f"WITH {_CACHE_SQL} SELECT r.key FROM r JOIN e ON r.key = e.key WHERE reason IS NOT NULL")
 def q_cache_misses(spark, sf):
-    return cache.misses(*_cache(spark, sf)).select("key")
+    return cache.misses(*_cache(spark, sf), "R").select("key")
 
 
 @query("""WITH k AS (SELECT event_id, list_sort(json_keys(props::JSON)) AS f FROM events) SELECT event_id, f = ['k'] AS same, len(list_filter(['k', 'z'], lambda x: NOT list_contains(f, x))) = 0 AS within FROM k""")
@@ -723,8 +723,11 @@ def q_process(spark, sf):
     l = lines(spark, sf)  # noqa: E741
     f = F.array(*[F.struct(F.lit(i).alias("fpos"), F.lit(n).alias("name"), F.lit(x).alias("description")) for i, (n, x) in enumerate((("titulo", "first line"), ("resto", "last line"), ("numero", "a number")))])
     entries = d.where(F.length("text") >= 2).select("doc_id", F.col("lang").alias("label"), f.alias("fields"), F.col("doc_id").alias("seq"))
-    known = l.groupBy("doc_id").agg(F.substring(F.min_by("text", "block_idx"), 1, 30).alias("a"), F.max_by("text", "block_idx").alias("b"))
+    known = l.groupBy("doc_id").agg(F.min_by("text", "block_idx").alias("a"), F.max_by("text", "block_idx").alias("b"))
     pair = lambda n, c: F.struct(F.lit(n).alias("field"), c.alias("value"))
     table = known.select("doc_id", F.inline(F.array(pair("titulo", F.col("a")), pair("resto", F.col("b")), pair("numero", F.lit(None).cast("string")))))
     structures = d.select(F.col("lang").alias("label"), F.lit("stricted").alias("structure")).distinct()
     return extraction.process(entries, l, h.select("doc_id", "full", "left", "right"), structures, providers.TableProvider(table))
+
+
+from . import queries_store  # noqa: E402, F401  its queries register here
