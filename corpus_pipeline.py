@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import mixing, neardup, packing, quality, repeats, scratch
+from fieldweave.llm.tables import fresh
 
 #: Repeated passages of this many bytes go: about 40 words, so that passages of over 50 words are found.
 PASSAGE_BYTES = 200
@@ -32,34 +33,56 @@ def _stage(work):
 
 @_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return quality.judge(docs, quality.model_for(spark, sf_dir, docs)).where("quality.kept").select(*docs.columns)
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are judged by their site; a null source or language is one of its own; each repeated row is judged
+    like the others. Columns of ``docs`` may have any names. An empty table stays empty.
+    """
+    judged = quality.judge(docs, quality.model_for(spark, sf_dir, docs))
+    return judged.where(F.col(fresh(docs, "quality"))["kept"]).select(docs.columns)
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the least id."""
-    return neardup.near_duplicates(docs, number_rows=True).where("near.kept and near.row = 1").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one of the least id.
+
+    Of repeated rows of one id and text one stays. Texts without words are like nothing else; null and repeated ids with
+    different texts are different documents. Columns of ``docs`` may have any names. An empty table stays empty.
+    """
+    near = F.col(fresh(docs, "near"))
+    return neardup.near_duplicates(docs, number_rows=True).where(near["kept"] & (near["row"] == 1)).select(docs.columns)
 
 
 @_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand more than once go from the texts; a document stays even if nothing is left of it."""
-    done = repeats.remove_repeats(docs, length=PASSAGE_BYTES)
-    text = F.col("repeats.text")
-    new = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(text), "n_chars": F.when(F.col("repeats.n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    """Passages that stand more than once go from the texts; a document stays even if nothing is left of it.
+
+    A null text stays null. Repeated rows repeat each other, so nothing is left of them. ``n_chars`` follows the text
+    where something went. Columns of ``docs`` may have any names. An empty table stays empty.
+    """
+    done, found = repeats.remove_repeats(docs, length=PASSAGE_BYTES), F.col(fresh(docs, "repeats"))
+    new = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(found["text"]), "n_chars": F.when(found["n_removed"] > 0, F.length(found["text"]).cast("long")).otherwise(F.col("n_chars"))}
     return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
-    return mixing.take_mix(mixing.mix_sources(docs)).select(*docs.columns)
+    """Documents as often as their source's target takes them, twice at most.
+
+    A null source is a source of its own; texts without words count as size 0 and go along by their source's rate. Columns of
+    ``docs`` may have any names. An empty table stays empty.
+    """
+    own = fresh(docs, "mix")
+    return mixing.take_mix(mixing.mix_sources(docs), own).select(docs.columns)
 
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences with their places."""
+    """Pieces of token sequences with their places.
+
+    A null or empty text is one piece, the end id alone; repeated rows and null ids stay as they are; a long text has many
+    pieces. Other columns are left out. An empty table gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 
