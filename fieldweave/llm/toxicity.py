@@ -27,8 +27,8 @@ from .scratch import materialize
 from .tables import fresh
 from .textbuf import U64, pieces
 
-#: Most labelled rows of each class, least toxic texts and odds of an entry, entries, and the reach of a pronoun.
-SAMPLE, SUPPORT, ODDS, ENTRIES, REACH, THRESHOLD = 6000, 3, 8.0, 20000, 5, 0.3
+#: Most labelled rows of each class, least toxic texts and odds of an entry, the reach of a pronoun, and the score from which a text counts as toxic.
+SAMPLE, SUPPORT, ODDS, REACH, THRESHOLD = 6000, 3, 8.0, 5, 0.3
 PREFIXES = (4, 5, 6)
 _SALT = (U64(0), U64(0x1234567887654321), U64(0x2468135713572468), U64(0x3C3C5A5A69699696))
 
@@ -119,19 +119,20 @@ def _class_weights(of_class: dict[int, int], sample: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from ``labels``, of which at most ``sample`` of each class are used.
 
-    That bound makes the labels small enough to send to every task, so the texts stay where they are.
-    Other labels than 0 and 1 are left out; a null text is an empty one. Without rows of both classes
+    That bound makes the labels small enough to send to every task, so the texts stay where they are, and bounds
+    the entries that are counted. Of several texts with one id the least is used. Other labels than 0 and 1 are left out; a null text is an empty one. Without rows of both classes
     the model is a constant.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)).cast("int").alias("half"), F.xxhash64(F.lit(6), key).alias("o"))
     of_class = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     few = [marked.where(F.col("y") == y).orderBy("o").limit(sample) for y in (0, 1)]
     known = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), key).join(F.broadcast(few[0].unionByName(few[1])), F.col(key) == F.col("_key"))
-    use = materialize(known.select("t", "y", "half"), "labelled")
+    # one text for each label, also where an id is repeated: the sample stays within its bound
+    use = materialize(known.groupBy("_key", "y", "half").agg(F.min("t").alias("t")).select("t", "y", "half"), "labelled")
     sizes = {(r["half"], r["y"]): r["n"] for r in use.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     counts = use.mapInArrow(_count, "h long, c0 long, t0 long, c1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
-    best = counts.where(F.col("t0") + F.col("t1") >= SUPPORT).withColumn("odds", (F.col("t0") + F.col("t1") + 0.1) / (F.col("c0") + F.col("c1") + 0.1)).orderBy(F.desc("odds"), F.desc(F.col("t0") + F.col("t1")), "h").limit(ENTRIES)
-    found = best.select("h", "c0", "t0", "c1", "t1").toPandas().to_numpy(np.int64).reshape(-1, 5)
+    # entries of the bounded sample that stand in enough toxic texts; which of them tell is decided half by half
+    found = counts.where(F.col("t0") + F.col("t1") >= SUPPORT).select("h", "c0", "t0", "c1", "t1").toPandas().to_numpy(np.int64).reshape(-1, 5)
     keys, (c0, t0, c1, t1) = np.ascontiguousarray(found[:, 0]).view(np.uint64), found[:, 1:].T.astype(float)
     n = lambda half, y: sizes.get((half, y), 0)
     ones = [_lexicon(keys, t1, c1, n(1, 1), n(1, 0)), _lexicon(keys, t0, c0, n(0, 1), n(0, 0))]  # for half 0 that of half 1

@@ -1,8 +1,10 @@
 """The corpus pipeline on a fixture, stage by stage, and the entries of the queries."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
-from fieldweave.llm import queries
+from fieldweave.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +35,33 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert sorted(((i is not None, i or 0, x) for i, x in got if (i, x) not in one)) == sorted([(False, 0, t[0]), (False, 0, t[1]), (True, 7, t[2]), (True, 8, t[4]), (False, 0, t[5]), (True, 5, "")])
 
 
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    """Nulls, empty texts, repeated rows and columns with the stages' own names, through all stages, and an empty table."""
+    long = " ".join(f"word{i}" for i in range(3000))
+    shared = " ".join(f"shared{i}" for i in range(60))
+    texts = [None, "", "   ", "one", long, f"{shared} and then {long[:400]}", f"so it was {shared}", "plain text of a few words that is like nothing else here", None]
+    rows = [(None if i in (3, 8) else i, t, "en", None if i % 3 == 0 else f"s{i % 2}", None if t is None else len(t), i) for i, t in enumerate(texts)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, quality int"
+    docs = spark.createDataFrame([*rows, rows[4]], shape)
+    for c in ("near", "repeats", "mix", "_page", "_raw", "_host", "_path", "_near_id", "c0", "score"):
+        docs = docs.withColumn(c, F.lit("own"))
+    model = quality.train(docs, spark.createDataFrame([(4, 1), (5, 1), (6, 0), (7, 1)], "doc_id long, quality int"))
+    judged = quality.judge(docs, model)
+    assert judged.count() == 10 and {r.quality for r in judged.collect()} == set(range(9))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, now, SF)
+        assert out.columns == docs.columns
+        now = spark.createDataFrame(out.collect(), now.schema)
+        assert {r.near for r in now.collect()} <= {"own"}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert now.where("contains(text, 'shared1 ')").count() == 0  # the passage that two documents share
+    kept = {r.doc_id for r in now.collect()}
+    assert 4 in kept and 7 in kept
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= now.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_names():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
