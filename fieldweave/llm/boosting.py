@@ -104,12 +104,13 @@ def fit_isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None)
     """Pool adjacent violators; a block's value is smoothed a little so that none is 0 or 1. Weights as for trees."""
     if not len(z):
         return Isotonic(np.array([0.0]), np.array([0.5]))
-    order = np.argsort(z, kind="stable")
     weight = np.ones(len(z)) if weight is None else weight
+    spots, of = np.unique(z, return_inverse=True)  # rows of one score are one point, whatever block it joins
+    sums, counts = np.bincount(of, weight * y), np.bincount(of, weight)
     blocks: list[list[float]] = []  # sum of y, rows, least z, greatest z
-    for a, b, w in zip(z[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-        blocks.append([b * w, w, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for a, s, n in zip(spots.tolist(), sums.tolist(), counts.tolist(), strict=True):
+        blocks.append([s, n, a, a])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]
     xs, ys = [], []

@@ -375,6 +375,108 @@ def test_trees_and_isotonic():
     assert (same.raw(x) == model.raw(x)).all()
 
 
+def test_isotonic_against_a_slow_one():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        z = np.round(r.normal(size=40), 1)  # with ties
+        y, w = (r.random(40) < 1 / (1 + np.exp(-z))).astype(float), r.integers(1, 4, 40).astype(float)
+        spots = np.unique(z)
+        sums = np.array([[(w * y)[z == s].sum(), w[z == s].sum()] for s in spots])
+        mean = lambda a, b: sums[a : b + 1, 0].sum() / sums[a : b + 1, 1].sum()  # noqa: B023, E731
+        n = len(spots)
+        value = np.array([max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+        want = np.zeros(n)
+        for v in np.unique(np.round(value, 12)):
+            same = np.abs(value - v) < 1e-9
+            want[same] = (sums[same, 0].sum() + 0.01) / (sums[same, 1].sum() + 0.02)
+        assert boosting.fit_isotonic(z, y, w)(spots) == pytest.approx(np.maximum.accumulate(want))
+
+
+def test_first_tree_against_a_slow_one():
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        x = np.round(r.normal(size=(60, 3)), 1)
+        y, w = (x[:, 1] + r.normal(size=60) > 0).astype(float), r.integers(1, 3, 60).astype(float)
+        got = boosting.fit_trees(x, y, w, trees=1, depth=2)
+        p = ((w * y).sum() + 0.5) / (w.sum() + 1)
+        g, h = w * (y - p), w * p * (1 - p)
+        borders = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(3)]
+
+        def gain(rows, f, b):
+            left, right = rows & (x[:, f] <= b), rows & (x[:, f] > b)  # noqa: B023
+            if min(left.sum(), right.sum()) < 5:
+                return 0.0
+            part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)  # noqa: B023, E731
+            return part(left) + part(right) - part(rows)
+
+        def best(rows):
+            return max((gain(rows, f, b) for f in range(3) for b in borders[f]), default=0.0)  # noqa: B023
+
+        rows = np.ones(60, bool)
+        root = (int(got.feature[0, 0]), float(got.border[0, 0]))
+        assert gain(rows, *root) == pytest.approx(best(rows))
+        sides = [rows & (x[:, root[0]] <= root[1]), rows & (x[:, root[0]] > root[1])]
+        for side, at in zip(sides, (1, 2), strict=True):
+            f, b = int(got.feature[0, at]), float(got.border[0, at])
+            assert (gain(side, f, b) if np.isfinite(b) else 0.0) == pytest.approx(best(side))
+            for leaf, m in ((2 * (at - 1), side & (x[:, f] <= b)), (2 * (at - 1) + 1, side & (x[:, f] > b))):
+                assert got.value[0, leaf] == pytest.approx(0.15 * g[m].sum() / (h[m].sum() + 1))
+
+
+def test_quality_against_a_slow_one(spark):
+    r = random.Random(6)
+    hosts, paths = ["a", "b", None, "rare"], ["x", "y", None]
+    texts = _texts(80, 3)
+    rows = [(i, t.upper() if i % 4 == 0 else t, hosts[3] if i == 5 else r.choice(hosts[:3]), r.choice(paths)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = quality.train(d, spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(80)], "doc_id long, quality int"))
+    raw = {x.k: x.raw for x in quality.evidence(d, model, "text", ["doc_id"], ["k"]).collect()}
+    g = {i: 1 / (1 + np.exp(-z)) for i, z in raw.items()}
+    of = {i: (h, p) for i, _, h, p in rows}
+    mean = (sum(g.values()) + 1) / (len(g) + 2)
+
+    def worth(groups):  # (documents, mean, parent's mean) of each group
+        q = sum(n * (m - f) ** 2 for n, m, f in groups)
+        w, u = sum(f * (1 - f) * (n - 1) for n, _, f in groups), sum(f * (1 - f) for _, _, f in groups)
+        between = max((q - u) / w, 0.0)
+        return min(10000.0, max(1.0, 1 / between - 1)) if between else 10000.0
+
+    by_host = {h: [g[i] for i in g if of[i][0] == h] for h in {h for h, _ in of.values()}}
+    k = worth([(len(v), np.mean(v), mean) for v in by_host.values()])
+    host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in by_host.items()}
+    by_site = {s: [g[i] for i in g if of[i] == s] for s in set(of.values())}
+    k = worth([(len(v), np.mean(v), host[s[0]]) for s, v in by_site.items()])
+    path = {s: (sum(v) + k * host[s[0]]) / (len(v) + k) for s, v in by_site.items()}
+    for x in quality.judge(d, model).collect():
+        q, s = x["quality"], of[x.doc_id]
+        odds = raw[x.doc_id] - np.log(mean / (1 - mean)) + np.log(path[s] / (1 - path[s]))
+        assert (q.document, q.host, q.path, q.score) == pytest.approx((g[x.doc_id], host[s[0]], path[s], 1 / (1 + np.exp(-odds))))
+        assert q.kept == (q.score >= 0.5)
+
+
+def test_toxicity_features_against_a_slow_count():
+    """Lexicon hits, pronouns nearby, capitals and signs, counted word by word."""
+    from fieldweave.llm.features import NAMES, Words, word_hash
+
+    texts = ["You are a grunk, YOU Grunk!", "the grunk went by and far away from all of that was you", "", "gr0nk gr0unk nothing"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t) for t in texts]])
+    lexicon = toxicity.Lexicon(np.array([word_hash("grunk")], np.uint64), np.array([2.0]))
+    got = toxicity._features(Words(np.frombuffer(data, np.uint8), offsets), lexicon)
+    for t, x in zip(texts, got, strict=True):
+        words = re.findall(r"[A-Za-z0-9@$*]+", t)
+        low = [w.lower() for w in words]
+        hits = [i for i, w in enumerate(low) if w == "grunk"]
+        near = [i for i in hits if any(w == "you" for w in low[max(0, i - 5) : i + 6])]
+        n = max(1, len(words))
+        lex = x[len(NAMES) :]
+        assert lex[:4].tolist() == pytest.approx([len(hits), len(hits) / n, 2.0 * len(hits) / n, 2.0 if hits else 0.0]) and lex[5:].tolist() == pytest.approx([len(near), len(near) / n])
+        letters = [c for c in t if c.isalpha()]
+        told = dict(zip(NAMES, x, strict=False))
+        assert told["capitals"] == pytest.approx(sum(c.isupper() for c in letters) / max(1, len(letters))) and told["exclamations"] == pytest.approx(t.count("!") / n)
+        assert told["second_person"] == pytest.approx(low.count("you") / n)
+
+
 def test_toxicity_keeps_the_prior_of_a_cut_sample(spark):
     assert toxicity._class_weights({0: 90, 1: 10}, 100).tolist() == [1, 1] and toxicity._class_weights({1: 3}, 100)[1] == 1
     r = random.Random(4)
