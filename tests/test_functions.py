@@ -153,3 +153,32 @@ def test_template_id_ignores_order(spark):
     make = lambda *n: spark.range(1).select(fields.template_id(F.lit("x"), F.array(*map(F.lit, n)))).first()[0]
     assert make("b", "a") == make("a", "b") != make("a", "c")
     assert make("b", "a") == "x_" + hashlib.md5(b"x:a|b").hexdigest()[:8]
+
+
+def test_match_segments_against_a_loop(spark):
+    """Several fields compete for segments: best scores first, ties by field then segment, one to one."""
+    import random
+
+    from fieldweave.functions import fields, scores
+
+    r, about = random.Random(2), [("nome", "name of the part", "text", 20.0), ("marca", "brand steel", "text", 8.0), ("uf", "", "uf", 2.0), ("numero", "number", "number", None)]
+    boxes = [[r.choice(["steel plate", "PR", "101943", "brand X", "Nome:", "CPF", "12/03/2020", "a", "polished brass name"]) for _ in range(r.randint(1, 6))] for _ in range(60)]
+    pattern = ["number", "text", "uf"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(boxes)], "id int, s array<string>")
+    f = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("description"), F.lit(t).alias("type"), F.lit(a).cast("double").alias("avg_length")) for n, d, t, a in about])
+    got = {x.id: x.m for x in df.select("id", fields.match_segments(F.col("s"), f, F.array(*map(F.lit, pattern))).alias("m")).collect()}
+    flat = df.select("id", F.posexplode("s").alias("j", "seg"), F.size("s").alias("n"))
+    told = {}
+    for i, (n, d, t, a) in enumerate(about):
+        place = F.lit(pattern.index(t)) if t in pattern else F.lit(None).cast("int")
+        score = scores.segment_score(F.col("seg"), F.col("j"), F.col("n"), F.lit(d), F.lit(t), F.lit(a).cast("double"), place)
+        for x in flat.select("id", "j", score.alias("score")).collect():
+            told[(x.id, i, x.j)] = x.score
+    for k, segments in enumerate(boxes):
+        taken_fields, taken_segments, want = set(), set(), {n: None for n, *_ in about}
+        for i, j in sorted(((i, j) for i in range(4) for j in range(len(segments))), key=lambda p: (-told[(k, *p)], *p)):
+            if told[(k, i, j)] >= 0.3 and i not in taken_fields and j not in taken_segments:
+                taken_fields.add(i)
+                taken_segments.add(j)
+                want[about[i][0]] = segments[j]
+        assert got[k] == want
