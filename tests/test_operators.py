@@ -357,3 +357,21 @@ def test_label_queue_stream(spark, tmp_path):
     q.stop()
     want = {r.doc_id: r.leader for r in templates.leader_clusters(queries.hashed(spark, SF)).collect()}
     assert {r.doc_id: r.leader for r in spark.sql("SELECT * FROM queues").collect()} == want
+
+
+def test_windowed_counts_leave_out_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    from fieldweave.streaming.queue import windowed_counts
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
+    shape = "t timestamp, k string, value double"
+    for i, minutes in enumerate(([1, 2, 31], [3, 26, 60], [90])):  # 3 comes after 31 - 10, 26 in time
+        spark.createDataFrame([(at(m), "a", 1.0) for m in minutes], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i == 0:
+            stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+            q = windowed_counts(stream, "t", "k").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+    q.stop()
+    got = {r.window.start.minute + 60 * r.window.start.hour: r.n for r in spark.sql("SELECT * FROM windows").collect()}
+    assert got[0] == 2 and got[25] == 1 and got[30] == 1 and 90 not in got
