@@ -228,11 +228,11 @@ def q_hash_texts(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), a.alias("a"), bits.hamming(bits.from_hex(a), bits.from_hex(b)).cast("int").alias("distance"))
 
 
-@query("SELECT o_custkey AS id, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS id, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")
 def q_running_mean(spark, sf):
     """The mean of values that come one after the other."""
     o = T(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice")))["o_totalprice"].alias("v"))
     start = F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n"))
     mean = F.aggregate("v", start, lambda d, x: F.struct(knowledge.running_mean(d["m"], x, d["n"]).alias("m"), (d["n"] + 1).alias("n")))["m"]
-    return o.select("id", F.round(mean, 4).alias("mean"))
+    return o.select("id", F.round(mean, 6).alias("mean"))
 
