@@ -132,15 +132,17 @@ def segment_box(c: Column, delimiters: Sequence[str] | Column = fixed.DELIMITERS
     A delimiter may be a Column of patterns, such as those learned for a template. If none splits,
     classes of words do, on the original text.
     """
-    t = strip(c)
     patterns = delimiters if isinstance(delimiters, Column) else F.array(*[F.lit(d) for d in delimiters])
 
     def step(done: Column, d: Column) -> Column:
         parts = F.filter(F.transform(F.split(done[0], d), strip), lambda x: x != "")
-        return F.when((F.size(done) == 1) & (F.size(parts) > 0), parts).otherwise(done)
+        return F.when(F.size(done) == 1, let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(done))).otherwise(done)
 
-    split = F.aggregate(patterns, F.array(t).cast(_STRINGS), step)
-    return F.when(blank(c), F.array().cast(_STRINGS)).when(F.size(split) > 1, split).otherwise(token_transitions(t))
+    def cut(t: Column) -> Column:
+        split = let(F.aggregate(patterns, F.array(t).cast(_STRINGS), step), lambda s: F.when(F.size(s) > 1, s).otherwise(token_transitions(t)))
+        return F.when(t == "", F.array().cast(_STRINGS)).otherwise(split)
+
+    return let(strip(F.coalesce(c, F.lit(""))), cut)
 
 
 def learn_pattern(segments: Column) -> Column:
