@@ -68,13 +68,15 @@ NAMED_LINKS = 0.1
 _NAME = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Most tags: no '<' before their end, so a try that fails reads no farther than the next one begins.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^"'<>]+|"[^"<>]*"|'[^'<>]*')*+)>""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in TO_END}
 _OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]*/$""")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 _STRIP = {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„"}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     linked: int
@@ -119,7 +121,7 @@ def _self_closed(name: str, attributes: str) -> bool:
     return name in ("svg", "math") and attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
 
 
-@dataclass
+@dataclass(slots=True)
 class Tag:
     start: int
     end: int
@@ -138,8 +140,7 @@ class _Scanner:
 
     def __init__(self, page: str):
         self.page = page
-        self.marks = [m.start() for m in re.finditer("[\"'>]", page)]
-        self.quotes = {q: [i for i in self.marks if page[i] == q] for q in "\"'"}
+        self.marks: list[int] | None = None  # listed once a tag needs them
         self.last_end = page.rfind(">")
         self.dead: set[int] = set()
 
@@ -147,6 +148,9 @@ class _Scanner:
         """The place after the ``>`` that ends a tag whose name ends at ``at``; -1 if none does."""
         if at > self.last_end:
             return -1
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("[\"'>]", self.page)]
+            self.quotes = {q: [i for i in self.marks if self.page[i] == q] for q in "\"'"}
         passed, i = [], bisect_left(self.marks, at)
         while i < len(self.marks) and i not in self.dead:
             spot = self.marks[i]
@@ -161,10 +165,21 @@ class _Scanner:
         self.dead.update(passed)
         return -1
 
+    def _after(self, name: str, close: bool, end: int) -> int:
+        """Where the next tag may begin: content of some elements is no markup."""
+        if close or name not in TO_END:
+            return end
+        found = _RAW_END[name].search(self.page, end)
+        return found.start() if found else len(self.page)
+
     def tags(self) -> Iterator[Tag]:
         page, at = self.page, 0
         while (at := page.find("<", at)) >= 0:
-            if page.startswith("<!--", at):
+            if m := _PLAIN_TAG.match(page, at):
+                close, name = bool(m[1]), m[2].lower()
+                yield Tag(at, m.end(), close, name, m[3])
+                at = self._after(name, close, m.end())
+            elif page.startswith("<!--", at):
                 end = page.find("-->", at + 4)
                 yield Tag(at, at := len(page) if end < 0 else end + 3, False, "", "")
             elif page.startswith("<![CDATA[", at):
@@ -176,10 +191,7 @@ class _Scanner:
                     continue
                 name, close = m[1].lower(), page[at + 1] == "/"
                 yield Tag(at, end, close, name, page[m.end() : end - 1])
-                at = end
-                if not close and name in TO_END:  # its content is no markup
-                    found = _RAW_END[name].search(page, at)
-                    at = len(page) if not found else found.start()
+                at = self._after(name, close, end)
             elif at + 1 < len(page) and page[at + 1] in "!?/" and at < self.last_end:
                 yield Tag(at, at := page.find(">", at) + 1, False, "", "")
             else:
