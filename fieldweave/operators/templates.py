@@ -165,20 +165,3 @@ def leader_clusters(docs: DataFrame, known: DataFrame | None = None, first_round
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row stored under each key: how a store that overwrites reads."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-
-
-def get_template(templates: DataFrame, template: str) -> DataFrame:
-    return templates.where(F.col("template") == template)
-
-
-def has_template(templates: DataFrame, template: str) -> bool:
-    return bool(get_template(templates, template).take(1))
-
-
-def list_templates(templates: DataFrame) -> DataFrame:
-    return templates.select("template", "label").distinct()
-
-
-def template_part(fields: DataFrame, template: str, part: str) -> DataFrame:
-    """One part (``position``, ``mode``, ``alternatives``, ``value``) of a template's fields, where it is there."""
-    return fields.where((F.col("template") == template) & F.col(part).isNotNull()).select("field", part)

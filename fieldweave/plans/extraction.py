@@ -38,6 +38,11 @@ def requests_of(entries: DataFrame) -> DataFrame:
     return entries.withColumn("template_id", tid).select("doc_id", "label", "template_id", F.explode("fields").alias("f")).select("doc_id", "label", "template_id", F.col("f.name").alias("field"), "f.fpos", "f.description")
 
 
+def only(requests: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Requests for ``fields``; for all, where none are named."""
+    return requests.where(F.col("field").isin(fields)) if fields else requests
+
+
 def by_position(requests: DataFrame, blocks: DataFrame, template_fields: DataFrame, patterns: DataFrame, knowledge: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``requests`` with ``value``: each field from the best block for its position in the template.
 
@@ -202,4 +207,4 @@ def process(entries: DataFrame, blocks: DataFrame, hashes: DataFrame, structures
     return process_with(entries, blocks, hashes, structures, provider, Memory.empty(entries.sparkSession)).values.drop("how")
 
 
-__all__ = ["Outcome", "by_alternatives", "by_position", "extract", "learn_templates", "match_templates", "process", "process_with", "requests_of"]
+__all__ = ["Outcome", "by_alternatives", "by_position", "extract", "learn_templates", "match_templates", "only", "process", "process_with", "requests_of"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import bits, fields, fixed, scores
-from .operators import cache, knowledge, matching, templates
-from .plans import memory, providers
+from .operators import blocks, cache, knowledge, matching, templates
+from .plans import extraction, memory, providers
 from .plans.memory import Memory
 from .plans.stage import work_folder
 from .queries import _BEST_SQL, BOXES_SQL, V_SQL, T, boxes, lines, query, s_strip, s_type, values
@@ -236,3 +236,22 @@ def q_running_mean(spark, sf):
     mean = F.aggregate("v", start, lambda d, x: F.struct(knowledge.running_mean(d["m"], x, d["n"]).alias("m"), (d["n"] + 1).alias("n")))["m"]
     return o.select("id", F.round(mean, 6).alias("mean"))
 
+
+@query("""SELECT 'some' AS what, f AS field, CAST(count(*) AS BIGINT) AS n FROM part, (SELECT unnest(['nome', 'tipo']) AS f) GROUP BY f HAVING f = 'tipo'
+UNION ALL SELECT 'all', f, CAST(count(*) AS BIGINT) FROM part, (SELECT unnest(['nome', 'tipo']) AS f) GROUP BY f""")
+def q_requested_fields(spark, sf):
+    """Requests for named fields only, and for all where none are named."""
+    r = T(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(F.lit("nome"), F.lit("tipo"))).alias("field"))
+    told = lambda df, what: df.groupBy("field").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "field", "n")
+    return told(extraction.only(r, ["tipo"]), "some").unionByName(told(extraction.only(r, []), "all"))
+
+
+@query(f"""WITH {V_SQL} SELECT field, id, CASE WHEN field = 'cpf' THEN value END AS given, value IS NOT NULL AS there FROM v""")
+def q_flexible_text(spark, sf):
+    """Documents without a layout: one block without a place for the whole text, read by the provider alone."""
+    v = values(spark, sf)
+    docs = v.select(F.concat_ws("#", "field", F.col("id").cast("string")).alias("doc_id"), "value", "field", "id")
+    texts = blocks.simple_text(blocks.from_text(docs, "doc_id", "value"))
+    answers = providers.TableProvider(docs.where("field = 'cpf'").select("doc_id", "field", "value")).extract(docs.select("doc_id", "field"), texts)
+    joined = docs.join(answers.select("doc_id", F.col("value").alias("given")), "doc_id").join(texts, "doc_id", "left")
+    return joined.select("field", "id", "given", F.col("text").isNotNull().alias("there"))
