@@ -113,7 +113,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     """``op8_mix_sources``: sizes, targets and words taken of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     m = F.col("mix")
-    return mix_sources(docs).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
+    # words are counted once and kept beside the keys: counts and steps then read no text
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return mix_sources(sized, size="size").select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
 
 
 SQL = rf"""
