@@ -36,7 +36,7 @@ def _far(a: Column, b: Column) -> Column:
 
 def _places(side: Column, hashes: dict[str, Column], reach: int) -> Column:
     """Keys ``(hash, chunk, value)`` of a row, with those of all values within ``reach`` bits of its own."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(reach)])
+    masks = F.from_json(F.lit(str(_masks(reach))), "array<bigint>")  # one constant instead of thousands in the plan
 
     def around(k: str, h: Column, i: int) -> Column:
         return F.transform(masks, lambda m: F.struct(F.lit(k).alias("hash"), F.lit(i).alias("i"), _chunk(h, i).bitwiseXOR(m).alias("bits")))
