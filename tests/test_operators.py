@@ -90,6 +90,40 @@ def test_match_templates_by_index_as_by_broadcast(spark):
     assert len(pairs) > 100 and pairs == rows(templates.near_pairs(d, t, broadcast_rows=0))
 
 
+def test_leaders_of_unlike_documents_are_told_without_the_fold(spark, monkeypatch):
+    import random
+
+    r, fold, seen = random.Random(5), templates._fold, spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        def tell():
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return fold(tell())
+
+    h = [(i, "x", i, *[r.getrandbits(63) for _ in range(3)]) for i in range(400)]
+    h += [(i + 400, "x", i + 400, *h[i % 7][3:]) for i in range(100)]  # copies
+    d = spark.createDataFrame(h, "doc_id long, label string, seq long, full long, left long, right long")
+    want = rows(templates.leader_clusters(d))
+    monkeypatch.setattr(templates, "_fold", counting)
+    monkeypatch.setattr(templates, "BLOCK", 50)
+    assert rows(templates.leader_clusters(d, first_round=50, broadcast_rows=0)) == want
+    assert seen.value <= 60  # the first rounds; each of the 400 before
+
+
+def test_text_hashes_as_raster_hash(spark):
+    from fieldweave.functions import bits
+
+    got = {r.doc_id: (r.full, r.left, r.right) for r in queries.hashed(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in queries.T(spark, SF, "documents").where(F.length("text") >= 2).collect()}
+    cut = lambda t: [ord(t[len(t) * i // 72]) for i in range(72)]
+    pixels = [(k, cut(t), cut(t[: len(t) // 2]), cut(t[len(t) // 2 :])) for k, t in texts.items()]
+    p = spark.createDataFrame(pixels, "doc_id long, full array<int>, left array<int>, right array<int>")
+    assert got == {r[0]: tuple(r[1:]) for r in p.select("doc_id", *[bits.raster_hash(F.col(k)) for k in ("full", "left", "right")]).collect()}
+
+
 def test_first_match_rules(spark):
     b = spark.createDataFrame([(1, 0, 0, "MARIA DA SILVA", 0.0, 0.0, 1.0, 1.0)], "doc_id long, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double")
     v = spark.createDataFrame([(1, "a", "maria da silva"), (1, "b", "MARIA"), (1, "c", "MARIA DA SILV"), (1, "d", " "), (1, "e", "MARIA DA SILVA SOUZA")], "doc_id long, field string, value string")
