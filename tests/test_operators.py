@@ -124,6 +124,16 @@ def test_text_hashes_as_raster_hash(spark):
     assert got == {r[0]: tuple(r[1:]) for r in p.select("doc_id", *[bits.raster_hash(F.col(k)) for k in ("full", "left", "right")]).collect()}
 
 
+def test_equal_hashes_are_matched_without_pairs(spark, monkeypatch):
+    made = [(i, "ab"[i % 2], i, i // 8, None if i % 5 == 0 else i % 3, i % 4) for i in range(64)]
+    d = spark.createDataFrame(made, "doc_id long, label string, seq long, full long, left long, right long")
+    t = d.withColumn("template", F.col("doc_id"))
+    best = F.min_by(F.struct("template", "score"), F.struct("score", "seq"))
+    want = rows(templates.near_pairs(d, t).groupBy("doc_id", "label").agg(best.alias("b")).select("doc_id", "label", "b.*"))
+    monkeypatch.delattr(templates, "near_pairs")
+    assert rows(templates.match_templates(d, t, broadcast_rows=0)) == want
+
+
 def test_first_match_rules(spark):
     b = spark.createDataFrame([(1, 0, 0, "MARIA DA SILVA", 0.0, 0.0, 1.0, 1.0)], "doc_id long, page int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double")
     v = spark.createDataFrame([(1, "a", "maria da silva"), (1, "b", "MARIA"), (1, "c", "MARIA DA SILV"), (1, "d", " "), (1, "e", "MARIA DA SILVA SOUZA")], "doc_id long, field string, value string")
